@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import encode_corpus, mix_sources, pack_containers, token_budget
+from weirflow.llm import encode_corpus, garbled, mix_sources, pack_containers, token_budget
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,8 +60,16 @@ def p8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shards()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_lines(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"), keep_text=False)
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_lines(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_totals, p2_text_totals, p4_found, p4_assignment, p4_fill, p7_ids, p8_mix, p8_shares, p8_shards]
+    found = [p2_found, p2_totals, p2_text_totals, p4_found, p4_assignment, p4_fill, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
