@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import encode_corpus, garbled, mix_sources, pack_containers, token_budget
+from weirflow.llm import encode_corpus, garbled, mix_sources, pack_containers, page_body, token_budget
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,14 @@ def p4_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_containers.fill_report(p4_assignment(spark, sf_dir), _read(spark, sf_dir, "container_sizes"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_body.furniture_lines(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+
+
+def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_body.main_body(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus.encode_corpus(_read(spark, sf_dir, "documents"), length=F.col("n_chars"))
 
@@ -69,7 +77,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_totals, p2_text_totals, p4_found, p4_assignment, p4_fill, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
+    found = [p2_found, p2_totals, p2_text_totals, p4_found, p4_assignment, p4_fill, p5_found, p5_body, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
