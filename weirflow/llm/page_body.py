@@ -52,7 +52,7 @@ NOTICES = (
     r"Terms of use|免责声明|Impressum ·|Mentions légales|Aviso legal|Note legali|Voorwaarden ·|Правовая информация|利用規約",
     r"Back to top|返回顶部|Nach oben|Naar boven|Haut de page|Torna su|Volver arriba|Voltar ao topo|Наверх$|ページの先頭へ",
     # consent
-    r"We use cookies|This site stores|Your privacy matters|By clicking “Accept”|OK, got it|本网站使用缓存|我们重视您的隐私|我知道了$|为提供更好的服务|Wij gebruiken cookies|Wir verwenden Cookies|Nous utilisons des cookies|Usiamo i cookie|Usamos cookies|Мы используем файлы cookie|当サイトではクッキー|(?:En poursuivant|Proseguendo|Al continuar|Ao continuar|Door verder te gaan|Durch die weitere Nutzung|Продолжая)",
+    r"We use cookies|This site stores|Your privacy matters|By clicking “Accept”|OK, got it|本网站使用缓存|我们重视您的隐私|我知道了$|为提供更好的服务|Wij gebruiken cookies|Wir verwenden Cookies|Nous utilisons des cookies|Usiamo i cookie|Usamos cookies|Мы используем файлы cookie|当サイトではクッキー|(?:En poursuivant|Proseguendo|Al continuar|Ao continuar|Door verder te gaan|Durch die weitere Nutzung|Mit der weiteren Nutzung|Si continúa, acepta|閲覧を続けると|Продолжая)",
     # log in, subscribe, share, rate, comment
     r"Already a member|Log in to|Sign up for|Subscribe to|Follow us|Share this|Leave a reply|Was this page helpful|Rate this page|Report an error|Add to favourites|Download our|\d+ comments? so far|Please enable JavaScript|Join the discussion",
     r"还没有账号|扫一扫|点赞（|上一篇：|下一篇：|举报错误|收藏本页|点击下载客户端|本文对您有帮助吗|订阅每周精选|已有\d+人评论|分享到：|登录后才能|请登录",

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import encode_corpus, garbled, mix_sources, pack_containers, page_body, token_budget
+from weirflow.llm import encode_corpus, garbled, mix_sources, pack_containers, page_body, text_stats, token_budget
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats.not_prose(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats.text_statistics(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget.unusable_lengths(_read(spark, sf_dir, "tokenized_docs"))
 
@@ -77,7 +85,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_totals, p2_text_totals, p4_found, p4_assignment, p4_fill, p5_found, p5_body, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
+    found = [p1_found, p1_statistics, p2_found, p2_totals, p2_text_totals, p4_found, p4_assignment, p4_fill, p5_found, p5_body, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
