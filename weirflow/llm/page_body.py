@@ -60,7 +60,7 @@ NOTICES = (
     r"¿Ya es miembro|Deje un comentario|Compartir:|Suscríbase|Descargue la aplicación|Já é membro|Deixe um comentário|Compartilhar:|Assine nosso|Baixe o aplicativo|Уже с нами|Оставить комментарий|Поделиться:|Подпишитесь|Скачать приложение|会員の方は|コメントを残す|シェアする|メールマガジン|アプリをダウンロード",
     # advertising
     r"Advertisement\b|Sponsored content|Continue reading below|Story continues after|Special offer|Looking for an? .{1,60}\? Order|Our partner .{1,80}see the offer|.{1,60} Academy: learn to|Anzeige$|Gesponserter Inhalt|Weiter nach der Werbung|Advertentie|Gesponsorde inhoud|Lees verder na de",
-    r"广告$|推广内容|以下内容继续|限时优惠|【推荐】|想要.{1,40}吗？现在下单|.{1,40}厂家直销|.{1,30}学堂：\d+天学会|回答\d+个问题|Answer \d+ questions",
+    r"广告$|推广内容|以下内容继续|限时优惠|【推荐】|想要.{1,40}吗？现在下单|.{1,40}厂家直销|.{1,30}学堂：\d+天学会|回答\d+个问题|Win an? .{1,60}! Answer \d+",
     r"Publicité|Contenu sponsorisé|La suite après la pub|Pubblicità|Contenuto sponsorizzato|Continua dopo la pub|Publicidad|Contenido patrocinado|Sigue después del anuncio|Conteúdo patrocinado|Continua após o anúncio|Реклама$|Материал партнёра|Продолжение после рекламы|広告|スポンサー記事",
     r"[^.!?。！？]{1,70}: -\d+ ?% ▸",
 )
