@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import encode_corpus, garbled, mix_sources, pack_containers, page_body, text_stats, token_budget
+from weirflow.llm import encode_corpus, garbled, languages, mix_sources, pack_containers, page_body, text_stats, token_budget
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,18 @@ def p2_text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget.piece_totals(documents.select("source", "lang", "domain", "text"), ["source", "lang", "domain"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.unnamed_languages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"), _read(spark, sf_dir, "lang_labels"))
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_segments(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+
+
+def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_containers.divided(p4_assignment(spark, sf_dir))
 
@@ -85,7 +97,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_statistics, p2_found, p2_totals, p2_text_totals, p4_found, p4_assignment, p4_fill, p5_found, p5_body, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
+    found = [p1_found, p1_statistics, p2_found, p2_totals, p2_text_totals, p3_found, p3_segments, p3_documents, p4_found, p4_assignment, p4_fill, p5_found, p5_body, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
