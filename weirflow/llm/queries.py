@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import encode_corpus, garbled, languages, mix_sources, pack_containers, page_body, text_stats, token_budget
+from weirflow.llm import encode_corpus, garbled, languages, mix_sources, pack_containers, page_body, split_overlap, text_stats, token_budget
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,18 @@ def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_body.main_body(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.found_pairs(_read(spark, sf_dir, "split_docs"))
+
+
+def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlaps(_read(spark, sf_dir, "split_docs"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.report(_read(spark, sf_dir, "split_docs"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus.encode_corpus(_read(spark, sf_dir, "documents"), length=F.col("n_chars"))
 
@@ -97,7 +109,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_statistics, p2_found, p2_totals, p2_text_totals, p3_found, p3_segments, p3_documents, p4_found, p4_assignment, p4_fill, p5_found, p5_body, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
+    found = [p1_found, p1_statistics, p2_found, p2_totals, p2_text_totals, p3_found, p3_segments, p3_documents, p4_found, p4_assignment, p4_fill, p5_found, p5_body, p6_found, p6_overlaps, p6_report, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
