@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -59,3 +60,12 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(out))
     sc._weirflow_shipped = True
+
+
+def keep_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read from there: a
+    lineage cut whose columns can be read one by one."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
