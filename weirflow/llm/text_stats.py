@@ -24,8 +24,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import zlib
-from collections import Counter
 from functools import lru_cache
 from pathlib import Path
 
@@ -38,6 +36,7 @@ from weirflow.llm.arrow import map_batches
 from weirflow.llm.boosting import BoostedTrees
 from weirflow.llm.garbled import Garbled, finder, read_samples
 from weirflow.llm.page_body import furniture, page_lines
+from weirflow.session import keep_table
 
 KINDS = ("prose", "list", "table", "junk")
 NEIGHBOUR_BITS = 21
@@ -45,20 +44,12 @@ SAMPLE_ROWS = 4_000
 FEATURES = (
     "n_chars", "n_lines", "n_words", "mean_word", "max_word", "mean_line", "long_lines", "symbol_ratio", "digit_ratio", "upper_ratio", "space_ratio",
     "ends_stop", "ends_comma", "stop_density", "marked_lines", "short_lines", "cell_lines", "same_cells", "cells_mean", "number_cells", "segment_words", "long_segments",
-    "sentences", "common_words", "usual_pairs", "pairs", "distinct_words", "squeeze", "rare_han", "odd_words", "vowel_words", "lost_ratio", "code_ratio", "hex_ratio", "leader_lines", "same_lines", "inner_symbols", "stamp_lines", "shape_share", "mixed_words", "segments", "shape_numbers", "garbled",
+    "sentences", "common_words", "usual_pairs", "pairs", "distinct_words", "distinct_pairs", "rare_han", "odd_words", "vowel_words", "lost_ratio", "code_ratio", "hex_ratio", "leader_lines", "same_lines", "inner_symbols", "stamp_lines", "shape_share", "mixed_words", "segments", "shape_numbers", "garbled",
 )
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’‑-][^\W\d_]+)*")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _HAN = re.compile("[㐀-鿿]")
-_STOP = re.compile(r"[.!?](?=[\s”\"»)]|$)|[。！？…]")
-_ENDS_STOP = re.compile("(?<!\\d)[.!?。！？…][”\"』」»)）’]*(?:\\s*[»”])?\\s*(?:\\([^()]{1,40}\\)|（[^（）]{1,40}）)?$")
-_ENDS_COMMA = re.compile("[,，;；、:：][”\"]?$")
 _MARK = re.compile(r"(?:[-•*»→›▸·–‣◦■□▪]\s|\(?\d{1,3}[.)）、]|[①-⑳]|\[[ x]\]|[(（]?[a-zA-Z][.)]\s)")
-_CELLS = re.compile(r"\t|\s?\|\s?|;|,(?=\S)|\s{2,}|[，；]")
-_NUMBER = re.compile(r"[-–]?[\d.,:%/()]+[.%]?|-")
-_LEADER = re.compile(r"\.{4,}\s*\d*\s*$")
-_SEGMENT = re.compile("(?<=[぀-鿿]) (?=[぀-鿿])|[\\n\\t,;:|/、，；：·•()（）]|\\.{3,}|\\s{3,}|[.!?。！？…]")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—。，；：！？、“”‘’«»（）…·]")
 _HEX = re.compile(r"\b(?:0x)?(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{2,8}\b")
 _CODE = re.compile(r"[{}=;\[\]<>_\\|^~#*@]")
@@ -68,27 +59,80 @@ _MIXED = re.compile(r"(?:[a-z][A-Z0-9]|[0-9][a-zA-Z]|[A-Z]{2}[a-z])")
 _VOWEL = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœаеёиоуыэюя]")
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case words; in Chinese and Japanese single characters."""
-    out: list[str] = []
-    cjk = _CJK.search
-    for w in _WORD.findall(text.lower()):
-        if w.isascii() or not cjk(w):
-            out.append(w)
+LETTER, CJK, DIGIT, UPPER, SYMBOL, CODE, SPACE, RARE, HAN, STOP, SEPARATOR, VOWEL, QUOTE, COMMA, CELL = (1 << i for i in range(15))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Classes and small letters of the code points below 65536."""
+    flags, small = np.zeros(65536, np.uint16), np.arange(65536, dtype=np.int64)
+    usual = _usual()
+    for i in range(65536):
+        if 0xD800 <= i < 0xE000:
+            continue
+        c = chr(i)
+        f = 0
+        if _CJK.match(c):
+            f |= CJK | (HAN if _HAN.match(c) else 0) | (RARE if _HAN.match(c) and c not in usual else 0)
+        elif c.isalpha():
+            f |= LETTER | (UPPER if c.isupper() else 0) | (VOWEL if _VOWEL.match(c.lower()) else 0)
+            if len(c.lower()) == 1:
+                small[i] = ord(c.lower())
+        elif c.isdigit():
+            f |= DIGIT
+        elif c.isspace():
+            f |= SPACE
+        f |= (SYMBOL if _SYMBOL.match(c) else 0) | (CODE if _CODE.match(c) else 0) | (STOP if c in ".!?。！？…" else 0)
+        f |= (SEPARATOR if c in "\n\t,;:|/、，；：·•()（）" else 0) | (QUOTE if c in "”\"』」»)）’" else 0) | (COMMA if c in ",，;；、:：" else 0) | (CELL if c in "\t|;，；\n" else 0)
+        flags[i] = f
+    return flags, small
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Sizes of the groups of equal values."""
+    v = np.sort(values)
+    edges = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1], [True]))) if len(v) else np.zeros(1, np.int64)
+    return edges[1:] - edges[:-1]
+
+
+class _Page:
+    """A text as arrays: code points, their classes, and where words start."""
+
+    def __init__(self, text: str):
+        table, small = _tables()
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.codes = np.minimum(codes, 65535)
+        self.flags = f = table[self.codes]
+        letter = (f & LETTER) != 0
+        self.cjk = (f & CJK) != 0
+        begin = self.cjk | letter
+        begin[1:] &= self.cjk[1:] | ~letter[:-1]
+        self.starts = np.flatnonzero(begin)
+        # hash of a word: the sum over its letters of a mix of letter and place
+        inside = self.cjk | letter
+        place = np.arange(len(codes))
+        if len(self.starts):
+            sizes = np.empty_like(self.starts)
+            sizes[:-1] = self.starts[1:] - self.starts[:-1]
+            sizes[-1] = len(codes) - self.starts[-1]
+            place[self.starts[0]:] -= np.repeat(self.starts, sizes)
+        mixed = (small[self.codes] + 1 + 65_537 * place.astype(np.int64)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.where(inside, mixed ^ (mixed >> np.uint64(31)), np.uint64(0))
+        if len(self.starts):
+            self.words = np.add.reduceat(mixed, self.starts)
+            self.lengths = np.add.reduceat(inside.astype(np.int64), self.starts)
         else:
-            out.extend(w)
-    return out
+            self.words, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def pairs(self) -> np.ndarray:
+        """Hashes of neighbouring words, stable across processes."""
+        h = self.words
+        return ((h[:-1] * np.uint64(1_000_003) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - NEIGHBOUR_BITS)).astype(np.int64)
 
-@lru_cache(maxsize=200_000)
-def _word_hash(word: str) -> int:
-    return zlib.crc32(word.encode())
 
-
-def pair_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of neighbouring words, stable across processes."""
-    h = np.fromiter(map(_word_hash, words), dtype=np.uint64, count=len(words))
-    return ((h[:-1] * np.uint64(1_000_003) + h[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - NEIGHBOUR_BITS)).astype(np.int64)
+def pair_hashes(text: str) -> np.ndarray:
+    """Hashes of the neighbouring words of a text."""
+    return _Page(text).pairs() if text else np.zeros(0, np.int64)
 
 
 def body_lines(text: str | None, g: Garbled) -> tuple[list[str], int]:
@@ -101,113 +145,112 @@ def body_lines(text: str | None, g: Garbled) -> tuple[list[str], int]:
     return [x for x, _ in own], sum(h for _, h in own)
 
 
-@lru_cache(maxsize=20_000)
-def _class_of(c: str) -> int:
-    """digit 1, capital 2, symbol 4, Han 8, unusual Han 16, code 32."""
-    return (1 * c.isdigit() | 2 * c.isupper() | 4 * bool(_SYMBOL.match(c)) | 8 * bool(_HAN.match(c)) | 16 * (bool(_HAN.match(c)) and c not in _usual())
-            | 32 * bool(_CODE.match(c)))
-
-
-@lru_cache(maxsize=200_000)
-def _word_class(w: str) -> int:
-    """-1 for one Chinese or Japanese character; else long 1, with a vowel 2, 4 times its length."""
-    if len(w) == 1 and _CJK.match(w):
-        return -1
-    return 1 * (len(w) > 14) | 2 * bool(_VOWEL.search(w)) | 4 * len(w)
-
-
-def _length(s: str) -> int:
-    """About the number of words of a piece of text; two characters in Chinese and Japanese."""
-    s = s.strip()
-    if s.isascii() or not _CJK.search(s):
-        return s.count(" ") + bool(s)
-    return (len(s) + 1) // 2
+def _pieces(cuts: np.ndarray, starts: np.ndarray, cjk: np.ndarray, size: int) -> np.ndarray:
+    """Words in each piece between the cuts; two characters of Chinese or Japanese are one."""
+    edges = np.concatenate((cuts, [size]))
+    weight = np.concatenate(([0], np.cumsum(np.where(cjk[starts], 0.5, 1.0))))
+    upto = weight[np.searchsorted(starts, edges)]
+    return np.diff(np.concatenate(([0.0], upto)))
 
 
 def statistics(body: list[str], usual: np.ndarray | None, garbled: int = 0) -> list[float]:
     """The values of FEATURES over a page's own lines. ``usual``: bit set of pair
     hashes; ``garbled``: how many of the lines were garbled."""
     text = "\n".join(body)
-    n = max(1, len(text))
-    lines = max(1, len(body))
-    words = tokens(text)
-    n_words = max(1, len(words))
-    counts = Counter(words)
-    chars = Counter(text)
-    by_class: dict[int, int] = {}
-    for c, k in chars.items():
-        flags = _class_of(c)
-        by_class[flags] = by_class.get(flags, 0) + k
-    of = [sum(k for flags, k in by_class.items() if flags >> i & 1) for i in range(6)]
-    latin = latin_chars = long_words = vowels = most = 0
-    for w, k in counts.items():
-        flags = _word_class(w)
-        if flags >= 0:
-            latin += k
-            latin_chars += k * (flags >> 2)
-            long_words += k * (flags & 1)
-            vowels += k * (flags >> 1 & 1)
-            most = max(most, flags >> 2)
-    share = lambda hits, all_: hits / max(1, all_)
-    stops = commas = marks = short = long = leaders = stamps = rows = n_cells = n_flat = numbers = 0
-    widths: dict[int, int] = {}
-    shapes: dict[str, int] = {}
-    for x in body:
-        size = len(x)
-        end = x[-48:]
-        stops += _ENDS_STOP.search(end) is not None
-        commas += _ENDS_COMMA.search(end[-3:]) is not None
-        marks += _MARK.match(x) is not None
-        short += size < 40
-        long += size > 60
-        leaders += "...." in end and _LEADER.search(x) is not None
-        if size < 200:
-            cells = [c for c in _CELLS.split(x.strip("| ")) if c and not c.isspace()]
-            n_cells += len(cells)
-            if len(cells) >= 2:
-                rows += 1
-                widths[len(cells)] = widths.get(len(cells), 0) + 1
-                n_flat += len(cells)
-                numbers += sum(_NUMBER.fullmatch(c.strip()) is not None for c in cells)
-            stamps += x[:2].isdigit() and _STAMP.match(x) is not None or x[:1] == "[" and _STAMP.match(x) is not None
-            if size < 120 and any(map(str.isdigit, x)):
-                shape = _shape(x)
-                shapes[shape] = shapes.get(shape, 0) + 1
-        else:
-            n_cells += 1
-    shape, alike = max(shapes.items(), key=lambda v: (v[1], v[0])) if shapes else ("", 0)
-    segments = [_length(x) for x in _SEGMENT.split(text) if x and not x.isspace()]
-    parts = _STOP.split(text.replace("\n", " "))[:-1]
-    sentences = sum(4 <= _length(x) <= 120 for x in parts)
-    pairs = pair_hashes(words) if len(words) > 1 else np.zeros(0, np.int64)
+    page = _Page(text)
+    f, codes, starts = page.flags, page.codes, page.starts
+    size = len(f)
+    n, lines, n_words = max(1, size), max(1, len(body)), max(1, len(starts))
+    share = lambda hits, of: float(hits) / max(1, of)
+    count = lambda bit: int(np.count_nonzero(f & bit))
+    spelt = ~page.cjk[starts] if size else np.zeros(0, bool)
+    lengths = page.lengths[spelt]
+    latin = len(lengths)
+    vowels = int(np.count_nonzero(np.add.reduceat((f & VOWEL).astype(np.int64), starts)[spelt])) if latin else 0
+    counts = np.sort(_runs(page.words))
+    pairs = page.pairs()
     known = float(((usual[pairs >> 3] >> (pairs & 7)) & 1).mean()) if usual is not None and len(pairs) else 0.0
-    raw = text.encode()
     boxes = text.count("[ ]") + text.count("[x]")
-    total = sum(segments)
+    # lines
+    widths = np.array([len(x) for x in body], dtype=np.int64)
+    ends = np.cumsum(widths + 1) - 1
+    stop = (f & STOP) != 0
+    last = np.maximum(ends - 1, 0)
+    for _ in range(3):
+        if not size:
+            break
+        closing = (f[last] & (QUOTE | SPACE)) != 0
+        if not closing.any():
+            break
+        last = np.maximum(last - closing, 0)
+    tail = last
+    digit = (f & DIGIT) != 0
+    stops = int(np.count_nonzero(stop[tail] & ~digit[np.maximum(tail - 1, 0)])) if size else 0
+    commas = int(np.count_nonzero(f[tail] & COMMA)) if size else 0
+    marks = sum(_MARK.match(x) is not None for x in body)
+    leaders = sum("...." in x for x in body)
+    stamps = sum(x[:5].strip("[").isdigit() and _STAMP.match(x) is not None for x in body)
+    # cells of the lines that are no paragraphs
+    space = codes == 32
+    following, wide = np.zeros_like(f), np.zeros_like(space)
+    following[:-1] = f[1:]
+    wide[:-1] = space[:-1] & space[1:]
+    cut = ((f & CELL) != 0) | wide | (codes == 44) & ((following & SPACE) == 0) if size else np.zeros(0, bool)
+    cuts = np.flatnonzero(cut)
+    filled = ((f & SPACE) == 0) & ~cut if size else np.zeros(0, bool)
+    total = lambda mask: np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(mask)))[np.append(cuts, size)])))
+    used = total(filled) > 0
+    wordy = total((f & (LETTER | CJK)) != 0) > 0
+    row_of = np.searchsorted(ends, np.append(cuts, size) - 1) if size else np.zeros(0, np.int64)
+    row_of = np.minimum(row_of, lines - 1)
+    open_rows = widths < 200
+    cells = np.bincount(row_of[used], minlength=lines) if size else np.zeros(lines, np.int64)
+    cells = np.where(open_rows, cells, 1) if len(body) else cells
+    tabled = (cells >= 2) & open_rows if len(body) else cells >= 2
+    in_table = used & tabled[row_of] if size else used
+    numbers = int(np.count_nonzero(in_table & ~wordy))
+    alike = np.bincount(cells[tabled]).max(initial=0) if tabled.any() else 0
+    # numbers in the lines
+    began = digit & ~np.concatenate(([False], digit[:-1])) if size else digit
+    per_line = np.bincount(np.searchsorted(ends, np.flatnonzero(began)), minlength=lines)[:lines]
+    per_line = per_line[open_rows] if len(body) else per_line
+    kinds = np.bincount(per_line[per_line > 0]) if (per_line > 0).any() else np.zeros(1, np.int64)
+    usual_numbers = int(kinds.argmax())
+    # pieces between separators, and sentences
+    full = stop & (((following & (SPACE | QUOTE)) != 0) | (codes > 0x2000))
+    if size:
+        full[-1] = stop[-1]
+    dots = np.zeros_like(space)
+    dots[1:] = (codes[1:] == 46) & (codes[:-1] == 46)
+    gaps = np.zeros_like(space)
+    gaps[1:-1] = space[1:-1] & page.cjk[:-2] & page.cjk[2:]
+    apart = np.flatnonzero(((f & SEPARATOR) != 0) | full | dots | gaps | wide)
+    segments = _pieces(apart, starts, page.cjk, size)
+    segments = segments[segments > 0]
+    parts = np.flatnonzero(full)
+    told = _pieces(parts, starts, page.cjk, size)[:-1]
+    sentences = int(np.count_nonzero((told >= 3) & (told <= 120)))
+    of_segments = float(segments.sum())
+    digits, symbols, code, capitals = count(DIGIT), count(SYMBOL) - 2 * boxes, count(CODE) - 2 * boxes, count(UPPER)
     return [
-        math.log1p(len(text)), math.log1p(len(body)), math.log1p(len(words)), share(latin_chars, latin), math.log1p(most), math.log1p(n / lines), share(long, lines),
-        share(of[2] - 2 * boxes, n), share(of[0], n), share(of[1], n), share(chars[" "], n),
-        share(stops, lines), share(commas, lines), share(len(parts), n_words), share(marks, lines), share(short, lines),
-        share(rows, lines), share(max(widths.values(), default=0), lines), share(n_cells, lines), share(numbers, n_flat), share(total, len(segments)), share(sum(x for x in segments if x >= 9), total),
-        share(sentences * 12, n_words), share(sum(sorted(counts.values())[-8:]), n_words), known, math.log1p(len(pairs)), share(len(counts), n_words), len(zlib.compress(raw, 1)) / max(1, len(raw)),
-        share(of[4], n), share(long_words, latin), share(vowels, latin), share(sum(chars[c] for c in "�锟斤拷"), n), share(of[5] - 2 * boxes, n), share(sum(map(len, _HEX.findall(text))), n) if of[0] * 8 > n else 0.0,
+        math.log1p(size), math.log1p(len(body)), math.log1p(len(starts)), share(lengths.sum(), latin), math.log1p(int(lengths.max(initial=0))), math.log1p(n / lines), share(np.count_nonzero(widths > 60), lines),
+        share(symbols, n), share(digits, n), share(capitals, n), share(np.count_nonzero(space), n),
+        share(stops, lines), share(commas, lines), share(len(parts), n_words), share(marks, lines), share(np.count_nonzero(widths < 40), lines),
+        share(np.count_nonzero(tabled), lines), share(alike, lines), share(cells.sum(), lines), share(numbers, np.count_nonzero(in_table)), share(of_segments, len(segments)), share(segments[segments >= 9].sum(), of_segments),
+        share(sentences * 12, n_words), share(counts[-8:].sum(), n_words), known, math.log1p(len(pairs)), share(len(counts), n_words), share(len(_runs(pairs)), len(pairs)),
+        share(count(RARE), n), share(np.count_nonzero(lengths > 14), latin), share(vowels, latin), share(sum(map(text.count, "�锟斤拷")), n), share(code, n), share(sum(map(len, _HEX.findall(text))), n) if digits * 8 > n else 0.0,
         share(leaders, lines), share(lines - len(set(body)), lines),
-        share(len(_INNER.findall(text)), n_words) if of[5] * 50 > n else 0.0, share(stamps, lines), share(alike, lines), share(len(_MIXED.findall(text)), n_words) if of[1] * 20 > n else 0.0, math.log1p(len(segments)), float(shape.count("0")), share(garbled, lines),
+        share(len(_INNER.findall(text)), n_words) if code * 50 > n else 0.0, share(stamps, lines), share(kinds.max(initial=0) if usual_numbers else 0, lines), share(len(_MIXED.findall(text)), n_words) if capitals * 20 > n else 0.0, math.log1p(len(segments)), float(usual_numbers), share(garbled, lines),
     ]
 
 
-def _shape(line: str) -> str:
-    """What a line looks like: runs of letters, digits and blanks by one sign each."""
-    return re.sub(r"\s+", " ", re.sub(r"[^\W\d_]+(?:[ -][^\W\d_]+)*", "a", re.sub(r"\d+", "0", line)))
-
-
 def _usual() -> frozenset[str]:
     from weirflow.llm.garbled import usual_han
 
     return usual_han()
 
 
-def weak_label(s: dict[str, float], text: str) -> int:
+def weak_label(s: dict[str, float]) -> int:
     """Index in KINDS, or -1 where no rule is sure."""
     few = s["ends_stop"] < 0.1 and s["sentences"] < 0.1
     if s["lost_ratio"] > 0.02 or s["garbled"] > 0.3:
@@ -222,7 +265,7 @@ def weak_label(s: dict[str, float], text: str) -> int:
         return 3
     if s["rare_han"] > 0.3 or s["mixed_words"] > 0.5 and s["space_ratio"] < 0.03 and s["rare_han"] == 0 and s["upper_ratio"] > 0.2:
         return 3
-    if s["squeeze"] < 0.16 and s["n_chars"] > math.log1p(200) and s["distinct_words"] < 0.15 and s["number_cells"] < 0.2 and s["leader_lines"] < 0.3 and s["ends_stop"] < 0.3:
+    if s["distinct_pairs"] < 0.15 and s["n_chars"] > math.log1p(200) and s["distinct_words"] < 0.15 and s["number_cells"] < 0.2 and s["leader_lines"] < 0.3 and s["ends_stop"] < 0.3:
         return 3
     if s["vowel_words"] < 0.75 and s["n_words"] > math.log1p(15) and s["usual_pairs"] < 0.2 and s["digit_ratio"] < 0.1 and s["mean_word"] > 2:
         return 3
@@ -234,7 +277,7 @@ def weak_label(s: dict[str, float], text: str) -> int:
         return 0
     if few and s["leader_lines"] > 0.6 or few and s["marked_lines"] > 0.7 and s["short_lines"] > 0.7:
         return 1
-    if few and s["digit_ratio"] < 0.2 and s["number_cells"] < 0.3 and s["same_lines"] < 0.5 and s["code_ratio"] < 0.05 and s["segments"] >= math.log1p(5) and s["segment_words"] < 6 and s["squeeze"] > 0.17 and s["vowel_words"] * (s["mean_word"] > 0) >= 0.75 * (s["mean_word"] > 0):
+    if few and s["digit_ratio"] < 0.2 and s["number_cells"] < 0.3 and s["same_lines"] < 0.5 and s["code_ratio"] < 0.05 and s["segments"] >= math.log1p(5) and s["segment_words"] < 6 and s["distinct_pairs"] > 0.2 and s["vowel_words"] * (s["mean_word"] > 0) >= 0.75 * (s["mean_word"] > 0):
         return 1
     return -1
 
@@ -259,35 +302,29 @@ class ProseModel:
 
 def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPLE_ROWS) -> ProseModel:
     """Fits the model on weak labels of at most ``sample_rows`` documents."""
-    spread = documents.where(F.length(F.trim("text")) > 0).select(F.xxhash64("doc_id", F.lit(17)).alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    picked = spread.orderBy("k", "doc_id").limit(sample_rows).select("text").dropDuplicates().repartition(16)
+    # The ids are drawn first, so that no text is sorted or gathered.
+    ids = documents.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id", F.lit(17)).alias("__k")).orderBy("__k", "__id").limit(sample_rows).select("__id").distinct()
+    picked = documents.join(F.broadcast(ids), documents["doc_id"] == F.col("__id"), "left_semi").where(F.length(F.trim("text")) > 0).select("text").dropDuplicates().repartition(16)
 
     def pairs_of(batch: pa.RecordBatch):
         g = finder(samples)
-        seen = []
-        for t in batch.column(0).to_pylist():
-            body, _ = body_lines(t, g)
-            seen.append(np.unique(pair_hashes(words)).tolist() if len(words := tokens("\n".join(body))) > 1 else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen, type=pa.list_(pa.int32()))], ["text", "pairs"])
+        seen = [(body, garbled, np.unique(pair_hashes("\n".join(body))).tolist()) for body, garbled in (body_lines(t, g) for t in batch.column(0).to_pylist()) if body]
+        bodies, garbled, pairs = zip(*seen) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(bodies, type=pa.list_(pa.string())), pa.array(garbled, type=pa.int32()), pa.array(pairs, type=pa.list_(pa.int32()))], ["body", "garbled", "pairs"])
 
-    with_pairs = map_batches(picked, pairs_of, "text string, pairs array<int>")
+    # The sample's pages are taken apart once; it is bounded, so is the table.
+    with_pairs = keep_table(map_batches(picked, pairs_of, "body array<string>, garbled int, pairs array<int>"), "prose-sample")
     counted = with_pairs.select(F.explode("pairs").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("p").toArrow()
     usual = np.zeros(1 << (NEIGHBOUR_BITS - 3), dtype=np.uint8)
     p = counted.column("p").to_numpy()
     np.bitwise_or.at(usual, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
     def describe(batch: pa.RecordBatch):
-        g = finder(samples)
-        rows, labels = [], []
-        for t in batch.column(0).to_pylist():
-            body, garbled = body_lines(t, g)
-            if body:
-                s = statistics(body, usual, garbled)
-                rows.append(s)
-                labels.append(weak_label(dict(zip(FEATURES, s)), "\n".join(body)))
+        rows = [statistics(body, usual, garbled) for body, garbled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        labels = [weak_label(dict(zip(FEATURES, s))) for s in rows]
         yield pa.RecordBatch.from_arrays([pa.array(rows, type=pa.list_(pa.float64())), pa.array(labels, type=pa.int32())], ["s", "label"])
 
-    told = map_batches(picked, describe, "s array<double>, label int").where("label >= 0").toArrow()
+    told = map_batches(with_pairs.select("body", "garbled"), describe, "s array<double>, label int").where("label >= 0").toArrow()
     x = np.array(told.column("s").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = told.column("label").to_numpy().astype(np.int64)
     order = np.lexsort((*x.T[::-1], y))
