@@ -41,10 +41,13 @@ def unseen(df: DataFrame, seen: DataFrame, text: str) -> DataFrame:
 def shingles(c: Column, size: int = 5) -> Column:
     """Hashes of the distinct runs of ``size`` words, the words of a run unordered and
     distinct; none for fewer words."""
-    words = split_words(c)
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    runs = F.transform(at, lambda i: F.xxhash64(F.array_join(F.array_sort(F.array_distinct(F.slice(words, i, size))), " ")))
-    return F.when(F.size(words) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    def runs(words: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+        hashed = F.transform(at, lambda i: F.xxhash64(F.array_join(F.array_sort(F.array_distinct(F.slice(words, i, size))), " ")))
+        return F.when(F.size(words) >= size, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    # Bound by a lambda, so that the text is split once and not for every run.
+    return F.element_at(F.transform(F.array(split_words(c)), runs), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
