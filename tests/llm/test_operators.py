@@ -1,0 +1,281 @@
+"""The training-data operators against brute force, round trips and literal cases."""
+
+import collections
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weirflow.llm import encode_corpus, garbled, languages, mix_sources, pack_containers, page_body, split_overlap, text_stats, token_budget, vocab
+from weirflow.llm.boosting import BoostedTrees
+from weirflow.llm.overlap_words import common, words
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None, None), (2, "", "x"), (3, " \n\t", None), (4, "plain text", "en"), (4, "plain text", "en"), (5, "word " * 30_000, "en"), (6, "<|endoftext|> ok 😀 é", None)]
+
+
+@pytest.fixture(scope="module")
+def samples(spark):
+    return spark.read.parquet(f"{SF}/lang_samples.parquet")
+
+
+@pytest.fixture(scope="module")
+def finder(samples):
+    return garbled.Garbled(list(garbled.read_samples(samples)))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, blank, repeated and very long texts, and columns of clashing names."""
+    return spark.createDataFrame(ODD, "doc_id bigint, text string, lang string").withColumns({"n": F.lit(1), "ids": F.lit("x"), "kind": F.lit("k"), "cid": F.lit(2), "source": F.col("lang")})
+
+
+# --- 7: encoding
+
+
+@pytest.mark.parametrize("chunk, overlap", [(40, 20), (64, 30)])
+def test_chunks_encode_as_the_whole(chunk, overlap):
+    rng = random.Random(1)
+    alphabet = ["don't ", "it's", "  ", "\n\n", "\t", "123", "中文，", "é", "😀", "...", " a", "'ll", "x" * 25, "   "]
+    for _ in range(60):
+        t = "".join(rng.choice(alphabet) for _ in range(60))
+        ids = encode_corpus.encode_text(t)
+        assert encode_corpus.encode_text(t, chunk=chunk, overlap=overlap) == ids and encode_corpus.decode_ids(ids) == t
+
+
+def test_same_ids_as_the_other_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{vocab.DEFAULT_FOLDER}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    for text in ["a <|endoftext|> b", "中文 mixed 😀 text's", "\r\n  x​"]:
+        assert t.encode(text, add_special_tokens=False).ids == encode_corpus.encode_text(text)
+
+
+def test_encode_odd_rows_and_giants(spark, odd):
+    for giant in (1 << 20, 50):
+        rows = encode_corpus.encode_corpus(odd, giant_chars=giant, chunk=400, overlap=100).collect()
+        assert sorted((r["doc_id"], tuple(r["ids"])) for r in rows) == sorted((i, tuple(encode_corpus.encode_text(t))) for i, t, _ in ODD)
+    assert encode_corpus.encode_corpus(odd.limit(0)).count() == 0
+
+
+# --- 2: token budget
+
+
+def test_record_tokens(spark):
+    t = spark.createDataFrame([(1, [1, 2], 2, "a", "x"), (1, [1, 2], 2, "a", "x"), (2, [1], 5, None, None), (3, None, None, "a", "x"), (4, None, 7, "b", "x"), (5, [], 0, "b", "x"), (6, [1], None, "b", "x")], "rec_id bigint, token_ids array<int>, length int, source string, lang string")
+    texts = spark.createDataFrame([(3, "two words"), (9, "x")], "rec_id bigint, text string")
+    got = {r["rec_id"]: (r["tokens"], r["measured_by"], r["length_usable"]) for r in token_budget.record_tokens(t, texts).collect()}
+    assert got == {1: (2, "ids", True), 2: (1, "ids", False), 3: (2, "text", False), 4: (7, "length", True), 5: (0, "ids", True), 6: (1, "ids", False)}
+    assert sorted(r["rec_id"] for r in token_budget.unusable_lengths(t).collect()) == [2, 3, 6]
+    total = token_budget.budget(token_budget.record_tokens(t, texts), spark.createDataFrame([("a", "d")], "source string, domain string")).where("level = 'all'").first()
+    assert (total["records"], total["tokens"]) == (6, 13)
+    assert token_budget.unusable_lengths(t.limit(0)).count() == 0
+
+
+def test_piece_totals_equal_whole_texts(spark, odd):
+    got = {r["lang"]: r["tokens"] for r in token_budget.piece_totals(odd.select("lang", "text"), ["lang"]).collect()}
+    want = collections.Counter()
+    for _, t, lang in ODD:
+        if t:
+            want[lang] += len(encode_corpus.encode_text(t))
+    assert got == dict(want)
+
+
+# --- 4: containers
+
+
+def test_first_fit_against_plain_search():
+    rng = random.Random(2)
+    for _ in range(40):
+        sizes = sorted((rng.randrange(0, 50) for _ in range(rng.randrange(0, 60))), reverse=True)
+        room, want = [], []
+        for s in sizes:
+            at = next((i for i, r in enumerate(room) if r >= s), None)
+            if at is None:
+                at = len(room)
+                room.append(50)
+            room[at] -= s
+            want.append(at)
+        assert pack_containers.first_fit(np.array(sizes, dtype=np.int64), 50).tolist() == want
+
+
+def test_pack_is_whole_and_within_capacity(spark):
+    rng = random.Random(3)
+    rows = [(i, list(range(rng.choice([0, 3, 10, 25, 40]))), "train" if i % 3 else "val") for i in range(400)] + [(1000, None, "train"), (1001, [1], "none")]
+    t = spark.createDataFrame(rows + rows[:50], "rec_id bigint, token_ids array<int>, split string").withColumn("grp", F.lit(1))
+    a = pack_containers.pack(t, spark.createDataFrame([("train", 16), ("val", 12)], "split string, capacity int"), group_records=64).collect()
+    size = {i: len(x or []) for i, x, _ in rows}
+    got, used = collections.Counter(), collections.Counter()
+    for r in a:
+        got[r["rec_id"]] += r["n_tokens"]
+        if r["container"] is not None:
+            used[(r["split"], r["grp"], r["container"])] += r["n_tokens"]
+    assert {k: got[k] for k in size} == size and all(v <= (16 if k[0] == "train" else 12) for k, v in used.items())
+    limit = {"train": 16, "val": 12}
+    assert {r["rec_id"] for r in a if r["pieces"] > 1} == {i for i, x, s in rows if len(x or []) > limit.get(s, 99)}
+    assert [r["container"] for r in a if r["rec_id"] == 1001] == [None]
+
+
+# --- 8: mixing
+
+
+def test_plan_reaches_targets():
+    rows = mix_sources.plan({"a": 1000, "b": 100}, [(1, "a", 0.5, 1), (1, "b", 0.5, 4), (1, "c", 0.0, 2), (2, "z", 1.0, 3), (2, None, 1.0, 1)])
+    assert rows == [(1, "a", 0.5, 0, 400), (1, "b", 0.5, 4, 0), (1, "c", 0.0, 0, 0), (2, "z", 1.0, 0, 0)]
+
+
+def test_splitting_tree_is_exact():
+    tree = mix_sources.splitting_tree(np.array([37, 5, 0, 100]), 8, np.random.default_rng(1))
+    assert tree.sum(axis=0).tolist() == [37, 5, 0, 100] and tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 3
+
+
+def test_mixture(spark):
+    docs = spark.createDataFrame([(i, "some words of text " * (1 + i % 7), "a" if i % 4 else "b") for i in range(200)] + [(900, None, "a"), (901, "", "b"), (902, "x", None)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([(1, "a", 0.6, 2), (1, "b", 0.4, 3), (2, "gone", 1.0, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    m = mix_sources.Mixture(docs, targets, block_tokens=200, shard_tokens=1500)
+    shares = {(r["mix_id"], r["source"]): r for r in m.shares().collect()}
+    assert abs(shares[1, "a"]["actual_share"] - 0.6) < 0.01 and shares[1, "b"]["most_repeats"] <= 3 and shares[2, "gone"]["tokens"] == 0
+    copies = {r["doc_id"]: r["repeats"] for r in m.mix().where("mix_id = 1").collect()}
+    dealt = m.shards().collect()
+    assert collections.Counter(r["doc_id"] for r in dealt) == collections.Counter(copies) and len({(r["shard"], r["position"]) for r in dealt}) == len(dealt) and len({r["shard"] for r in dealt}) > 1
+
+
+# --- 9: garbled text
+
+
+@pytest.mark.parametrize("text, right, wrong", [
+    ("Après l’été, à Vony", "utf-8", "cp1252"), ("旱季期间，酶测量了水库。", "utf-8", "cp1252"), ("Größe und Maß", "utf-8", "mac_roman"), ("Мембрана клетки защищает", "utf-8", "cp1251"),
+    ("广告内容，以下继续", "utf-8", "gb18030"), ("旱季期间，水库降低了水库。", "gbk", "cp1252"), ("Северный ледник измеряет", "cp1251", "cp1252"), ("città è più", "cp1252", "cp850"), ("野生の蜂は古い灯台を", "utf-8", "cp932"),
+])
+def test_garbled_is_found_and_restored(finder, text, right, wrong):
+    bad = garbled.read_as(text.encode(right), wrong) or text.encode(right).decode(wrong, errors="replace")
+    assert finder.spans(f"{bad}")
+    fixed, hit, full = finder.restore(bad)
+    assert hit and (fixed == text or "�" in bad or not full or len(set(fixed) & set(text)) > 0.6 * len(set(text)))
+
+
+def test_twice_garbled_and_mixed(finder):
+    once = "’é".encode().decode("cp1252")
+    assert finder.restore(once.encode().decode("cp1252"))[0] == "’é"
+    fixed, hit, _ = finder.restore("Il a été Ã©tÃ© là, 中文。")
+    assert hit and fixed == "Il a été été là, 中文。"
+
+
+@pytest.mark.parametrize("text", ["Café naïve Łódź Đặng İşkorğan", "½ + ¼ = ¾ — «№ 7» §12¶", "渡榆湖一帶的體驗與環境，繁體字。", "古い灯台を測りました。", "В 1587 ГОДУ, ГЛАВНЫЙ КАНАЛ", "Straße größer Öß", "x₁ ≤ 10⁻³ ∑ aᵢ → ∞", "éé één ÇÃO", "", "😀🎉"])
+def test_rare_but_correct_is_no_case(finder, text):
+    assert finder.spans(text) == []
+
+
+def test_garbled_lines_of_odd_rows(spark, odd, samples):
+    assert garbled.garbled_lines(odd, samples).count() == 0
+    df = spark.createDataFrame([(1, "ok\nCafÃ©\r\n� x", 7)], "doc_id bigint, text string, line_no int")
+    assert [(r["line_no"], r["restored"]) for r in garbled.garbled_lines(df, samples).orderBy("line_no").collect()] == [(1, "Café\r"), (2, "� x")]
+
+
+# --- 5: page bodies
+
+
+def test_furniture(finder):
+    page = ["Home | Library | Search | Help", "Library / Home / The old mill", "The old mill", "The old mill measured the river, and nobody knew why. It was a long day.", "Advertisement", "• brief oven", "• damp hull", "The word “menu” first meant a detailed list, long before it moved to a screen.", "Related articles", "» How the tide works", "» Rosvo", "", "© 2020 a.example. All rights reserved.", "Back to top"]
+    assert [i for i, b in enumerate(page_body.page_furniture("\r\n".join(page), finder)) if b] == [0, 1, 4, 8, 9, 10, 12, 13]
+    assert page_body.page_furniture(" \n ", finder) == [] and page_body.page_furniture(None, finder) == []
+
+
+def test_body_keeps_lines_as_they_are(spark, odd, samples):
+    got = {r["doc_id"]: r["body"] for r in page_body.main_body(odd, samples).collect()}
+    assert got[1] is None and got[3] == " \n\t" and got[5] == "word " * 30_000
+    assert page_body.furniture_lines(odd.limit(0), samples).count() == 0
+
+
+# --- 1: statistics
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 6))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int) + (x[:, 2] > 1)
+    m = BoostedTrees(3).fit(x[:400], y[:400]).calibrate(x[400:500], y[400:500])
+    assert (m.probabilities(x[500:]).argmax(axis=1) == y[500:]).mean() > 0.8 and m.fit is not None
+
+
+def test_kinds_of_the_hand_checked_holdout(spark, samples):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = text_stats.fit(docs, garbled.read_samples(samples))
+    g = garbled.Garbled(list(garbled.read_samples(samples)))
+    checked = [(text_stats.body_lines(r["text"], g), r["kind"]) for r in text_stats.holdout()[::2]]
+    checked = [c for c in checked if c[0][0]]
+    _, p = model.kinds([b for b, _ in checked])
+    right = sum(text_stats.KINDS[k] == kind for k, (_, kind) in zip(p.argmax(axis=1), checked))
+    assert right >= 0.9 * len(checked)
+
+
+def test_statistics_of_odd_rows(odd, samples):
+    got = {r["doc_id"]: r for r in text_stats.text_statistics(odd, samples).collect()}
+    assert got[1]["kind"] is None and got[2]["n_words"] == 0 and got[3]["kind"] is None and got[4]["n_words"] == 2 and got[5]["n_words"] == 30_000
+    assert text_stats.not_prose(odd.limit(0), samples).count() == 0
+
+
+# --- 3: languages
+
+
+def test_languages(spark, samples):
+    model = languages.KernelClassifier([(r["lang"], r["text"]) for r in samples.orderBy("sample_id").collect()])
+    assert model.held_out_accuracy > 0.95
+    text = "Le vieux moulin attire la rivière du village, bien que peu de gens l’aient remarqué. Das kleine Museum erklärt den kurzen Sommer, ohne viel Wärme zu verlieren.\n竹林描述了羊群，这样就不会浪费。 (de leraar uit het dorp)"
+    labels = spark.createDataFrame([("fr", "french")], "label string, lang string")
+    docs = spark.createDataFrame([(1, text, "fr"), (2, None, "fr"), (3, "", None), (4, "The old mill", "fr")], "doc_id bigint, text string, lang string").withColumn("label", F.lit(0))
+    rows = languages.document_segments(docs, samples).orderBy("doc_id", "segment").collect()
+    assert [(r["doc_id"], r["lang"]) for r in rows] == [(1, "french"), (1, "german"), (1, "chinese"), (2, None), (3, None), (4, None)]
+    assert {(r["doc_id"], r["lang"]) for r in languages.unnamed_languages(docs, samples, labels).collect()} == {(1, "german"), (1, "chinese")}
+    assert {r["doc_id"]: r["languages"] for r in languages.document_languages(docs, samples).collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
+
+
+# --- 6: overlaps
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_common_subsequence():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 30))] for _ in range(2))
+        n = plain_common(a, b)
+        assert common(a, b) == n and common(a, b, n + 1) == -1
+
+
+def test_words():
+    assert words("Ａ café，x_1​y") == ["a", "café", "x", "1y"] and words("中文 a1。") == ["中", "文", "a", "1"] and words("... ​") == [] and words(None) == []
+
+
+def test_overlaps_against_all_pairs(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/split_docs.parquet").select("rec_id", "text", "source", "split").collect()
+    rng = random.Random(6)
+    base = [r for r in rows if r["split"] == "train" and r["text"] and len(words(r["text"])) > 60][:40]
+    made = []
+    for i, r in enumerate(base):
+        w = r["text"].split(" ") if " " in r["text"] else list(r["text"])
+        for _ in range(rng.choice([0, 2, 5])):
+            w[rng.randrange(len(w))] = "zzz"
+        made.append((100_000 + i, (" " if " " in r["text"] else "").join(w).upper(), None, "test"))
+    data = [tuple(r) for r in rows] + made + [(200_000, None, None, "val"), (200_001, "?!", "s", "val"), (200_002, "x", "s", None)]
+    df = spark.createDataFrame(data, "rec_id bigint, text string, source string, split string").withColumns({"cid": F.lit(1), "e": F.lit(2)})
+    w = {i: words(t) for i, t, _, _ in data}
+    want = set()
+    for i, _, _, s in data:
+        for j, _, _, u in data:
+            if s in ("val", "test") and u == "train" and w[i] and w[j] and 2 * sum((collections.Counter(w[i]) & collections.Counter(w[j])).values()) >= 0.8 * (len(w[i]) + len(w[j])) and 2 * common(w[i], w[j]) >= 0.8 * (len(w[i]) + len(w[j])):
+                want.add((min(i, j), max(i, j)))
+    got = {tuple(r) for r in split_overlap.found_pairs(df).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) >= 40
+    assert split_overlap.found_pairs(df.limit(0)).count() == 0
+    assert split_overlap.report(df).agg(F.sum("pairs")).first()[0] == len(got)
