@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space as the inside of a character class.
 WS = r"\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: What the cleaners remove or replace, in order.
+#: What the cleaners remove or replace, in order. The rule that removes all of a
+#: line up to a phrase is anchored, so a line without it is scanned once.
 TAGS = (("(?s)<script[^>]*>.*?</script>", ""), ("(?s)<style[^>]*>.*?</style>", ""), ("<[^>]+>", " "))
 ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 OTHER_ENTITIES = ((r"&#[0-9]+;", ""), ("&[a-zA-Z]+;", ""))
@@ -23,7 +24,7 @@ URLS = f"(?i)https?://{_URL_CHARS}|www\\.{_URL_CHARS}|ftp://{_URL_CHARS}"
 EMAIL = f"[^{WS}]+@[^{WS}]+\\.[^{WS}]+"
 ADS = (
     r"点击[^\n]*?(?:查看|下载|购买)", r"(?:扫码|扫描)[^\n]*?(?:二维码|关注)", r"(?:微信|微博|抖音|快手)[^\n]*?关注",
-    r"限时[^\n]*?优惠", r"[^\n]*?专享价", r"点击关注[^\n]*?公众号",
+    r"限时[^\n]*?优惠", r"(?m)^[^\n]*专享价", r"点击关注[^\n]*?公众号",
 )
 CONTROLS = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]"
 REPEATS = ((r"\.{3,}", "..."), ("-{3,}", "---"), ("_{3,}", "___"), ("!{3,}", "!!"), (r"\?{3,}", "??"))
@@ -64,8 +65,10 @@ def remove_ads(c: Column) -> Column:
 
 def clean_urls(c: Column) -> Column:
     """Links, then addresses, then advertising phrases out; white space collapsed."""
-    links = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), URLS, ""), EMAIL, "")
-    return collapse_space(remove_ads(links))
+    links = F.regexp_replace(F.coalesce(c, F.lit("")), URLS, "")
+    # Without the sign there is no address, and the pattern would try every place of a long run.
+    rest = F.when(F.contains(links, F.lit("@")), F.regexp_replace(links, EMAIL, "")).otherwise(links)
+    return collapse_space(remove_ads(rest))
 
 
 def nfc(c: Column) -> Column:
