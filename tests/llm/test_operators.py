@@ -168,6 +168,26 @@ def test_rare_but_correct_is_no_case(finder, text):
     assert finder.spans(text) == []
 
 
+@pytest.mark.parametrize("text, right, whole", [
+    ("常见问题 | 商城 | 专题 | 网站地图 | 课程中心 | 首页", "gbk", True), ("首页 > 新闻 > 专题 > 下载 > 论坛 | 帮助", "gbk", True),
+    ("旱季期间，水库降低了水位，这一点至今仍在讲授。一般来说，平缓的透镜吸引了山脉，学生们对此感到惊讶。直到最近，遥远的组织揭示了洋流，前提是地面保持干燥。", "gbk", True),
+    ("ホーム | ショップ | ログイン | お知らせ | ヘルプ", "euc_jp", False), ("マミムメモは、うがうがうが、うみがめのために、ここにあります。マミとメモ。", "cp932", False),
+    ("うみのうえで、うがいをして、うたをうたうことが、このうちのならわしでした。", "euc_jp", True),
+])
+def test_long_lines_and_menus_are_no_noise(finder, text, right, whole):
+    bad = garbled.read_as(text.encode(right), "cp1252")
+    assert any(s[3] in garbled.MULTI_READ[1:] for s in finder.spans(bad))
+    assert not whole or finder.restore(bad) == (text, True, True)
+
+
+def test_scattered_signs_are_no_encoding(finder):
+    for text in ("*he`n^t<§e¦¦h{~t/;>sh~lt#'e¦§=<live;> `r{i\\_*}*t;|u|# fe~ people'n<'iced{ Vot|¦o:^t }n* it#", "Г`авны^:к~*а}|/ащища~\\_всю:окр'<у# хотя=мал``^/о'э<: =аме§*л.\\<о/}а>}о~ : э|`}место"):
+        assert finder.spans(text) == []
+    once = "。".join(["如果天气允许，详细的规则覆盖了海湾"] * 3)
+    twice = once.encode().decode("latin-1").encode().decode("latin-1")
+    assert {s[3] for s in finder.spans(twice)} == {"utf-8"}
+
+
 def test_garbled_lines_of_odd_rows(spark, odd, samples):
     assert garbled.garbled_lines(odd, samples).count() == 0
     df = spark.createDataFrame([(1, "ok\nCafÃ©\r\n� x", 7)], "doc_id bigint, text string, line_no int")

@@ -217,7 +217,7 @@ def han_runs(text: str) -> list[tuple[int, int, str, str, str]]:
 
 _NON_ASCII = re.compile("[^\x00-\x7f]{2,}[^\n]?")
 _LOST = re.compile("(?:锟斤|斤拷|锟�|锟)[锟斤拷�]*|�+")
-_NOISE = re.compile(r"[{}~^#*\\|<>=_`§¬¦]")
+_NOISE = re.compile(r"[{}~^#*\\<=_`]|(?<=\S)[|>]|[|>](?=\S)|(?<![^\x00-\x7f])[§¬¦](?![^\x00-\x7f])")
 _HIGH = re.compile("[\x80-ÿŒœŠšŸŽžƒˆ˜‚-‡‰‹›€™Γ√┬├Р-С]")
 _HIGH2 = re.compile("[\x80-ÿŒœŠšŸŽžƒˆ˜–-…‰‹›€™].?[\x80-ÿŒœŠšŸŽžƒˆ˜–-…‰‹›€™]")
 _HAN = re.compile("[⺀-\uffff]{2}")
@@ -250,24 +250,24 @@ class Garbled:
         taken = bytearray(len(text))
         for a, b, *_ in out:
             taken[a:b] = b"\x01" * (b - a)
-        noisy = len(_NOISE.findall(text)) >= 4
         if _HIGH.search(text):
-            out += self._sequences(text, taken, noisy)
+            out += self._sequences(text, taken)
         if _HAN.search(text):
             for span in han_runs(text):
                 if not any(s[2] for s in out if s[0] < span[1] and span[0] < s[1]):
                     out = [s for s in out if not (span[0] <= s[0] and s[1] <= span[1])] + [span]
                     taken[span[0]:span[1]] = b"\x01" * (span[1] - span[0])
-        if not noisy:
+        if not _noisy(text, taken):
             out += self._words(text, taken)
         return sorted(out, key=lambda s: s[:2])
 
-    def _sequences(self, text: str, taken: bytearray, noisy: bool) -> list[tuple]:
+    def _sequences(self, text: str, taken: bytearray) -> list[tuple]:
         """Matches of the automata over characters, merged where they adjoin. The right
-        encoding that covers most of the line comes first."""
+        encoding that covers most of the line comes first. In a line of scattered signs a
+        reading other than UTF-8 counts only if it covers most of the line."""
         by_right = []
         for right, automaton in automata()[0].items():
-            if right != "utf-8" and (noisy or not _HIGH2.search(text)):
+            if right != "utf-8" and not _HIGH2.search(text):
                 continue
             runs: list[list] = []
             for end, (wrong, c, n) in automaton.iter_long(text):
@@ -277,9 +277,22 @@ class Garbled:
                     runs[-1][2].append((wrong, c))
                 else:
                     runs.append([start, end + 1, [(wrong, c)]])
-            runs = [r for r in runs if self._counts(text, right, r)]
+            sure = [r for r in runs if self._counts(text, right, r)]
+            covered = sum(r[1] - r[0] for r in sure)
+            most = 2 * covered >= sum(map(len, text.split()))
+            # Where most of the line is sure, its short words are of the same encoding.
+            runs = [r for r in runs if r[1] - r[0] >= 4 or r in sure] if most and right != "utf-8" else sure
+            if runs and right != "utf-8" and not most:
+                inside = bytearray(len(text))
+                for r in runs:
+                    inside[r[0]:r[1]] = b"\x01" * (r[1] - r[0])
+                if _noisy(text, inside):
+                    continue
             if runs:
-                by_right.append((sum(r[1] - r[0] for r in runs), right, runs))
+                by_right.append((covered, right, runs))
+        # A line that is mostly UTF-8 has no other reading; what is left over may be garbled twice.
+        if any(right == "utf-8" and 2 * n >= sum(map(len, text.split())) for n, right, _ in by_right):
+            by_right = [r for r in by_right if r[1] == "utf-8"]
         out = []
         for _, right, runs in sorted(by_right, key=lambda x: (-x[0], MULTI_READ.index(x[1]))):
             for a, b, found in runs:
@@ -389,6 +402,13 @@ _CYR_WORD = re.compile("[А-яЁё]{2,}")
 _SYMBOL_IN = re.compile("[^\\W\\d_][°-¹»-¿¢-©¬®¯×÷‗─-■†-•‰™≈-≥√∂∆∏∑∫ˆ-˝]")
 
 
+def _noisy(text: str, inside: bytearray) -> bool:
+    """Whether a line has at least four scattered signs outside what is explained by a reading.
+    Bars and angles between blanks separate menus; § ¬ ¦ beside other characters beyond
+    ASCII are what bytes of several encodings become."""
+    return sum(not inside[m.start()] for m in _NOISE.finditer(text)) >= 4
+
+
 def _core(word: str) -> str:
     return re.sub(r"[^\w]", "", word)
 
