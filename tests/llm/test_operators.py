@@ -299,3 +299,26 @@ def test_overlaps_against_all_pairs(spark):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) >= 40
     assert split_overlap.found_pairs(df.limit(0)).count() == 0
     assert split_overlap.report(df).agg(F.sum("pairs")).first()[0] == len(got)
+
+
+@pytest.mark.parametrize("n, step", [(26, 5), (30, 15), (40, 5), (75, 14), (150, 10), (400, 10)])
+def test_overlaps_lose_no_altered_text(spark, n, step):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    data, want = [], set()
+    for i in range(40):
+        w = [rng.choice(vocabulary) for _ in range(n)]
+        v = [f"z{i}x{k}" if k % step == step - 1 else x for k, x in enumerate(w)]
+        if 2 * common(w, v) >= 0.8 * 2 * n:
+            want.add((2 * i, 2 * i + 1))
+        data += [(2 * i, " ".join(w), "s", "train"), (2 * i + 1, " ".join(v), "s", "val")]
+    assert len(want) == 40
+    assert {tuple(r) for r in split_overlap.found_pairs(spark.createDataFrame(data, "rec_id bigint, text string, source string, split string")).collect()} == want
+
+
+def test_sketch_is_never_below_what_is_common():
+    rng = random.Random(8)
+    for _ in range(50):
+        a, b = ([rng.choice("abcdefgh") * rng.choice([1, 2]) for _ in range(rng.randrange(1, 400))] for _ in range(2))
+        x, y = (np.frombuffer(split_overlap.sketch(split_overlap.hashes(v, False)), np.uint8) for v in (a, b))
+        assert int(np.minimum(x, y).sum()) >= common(a, b) or 255 in np.minimum(x, y)
