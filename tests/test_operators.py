@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weirflow.config import CorpusConfig
 from weirflow.operators import acquire, dedup, metrics, order, sample, tokens, vector
+from weirflow.plans.pipeline import Pipeline
 
 
 def md5_order(ids, seed):
@@ -66,6 +68,19 @@ def test_tokens(spark):
     assert got == {1: [ord("中") % 6400, 97, 2], 4: [98, 2]}
 
 
+def test_tokens_of_the_whole_text(spark, tmp_path):
+    text = "".join(chr(97 + i % 26) for i in range(2500))
+    df = spark.createDataFrame([(1, text)], "row_no bigint, text string")
+    want = [ord(c) for c in text] + [2]
+    assert tokens.tokenize(df).first()["token_ids"] == want
+    assert tokens.tokenize(df, encoder=tokens.reference_encode).first()["token_ids"] == want[:1000] + [2]
+    config = CorpusConfig(base_dir=str(tmp_path))
+    df.write.parquet(config.stage_dir(3))
+    assert Pipeline(spark, None, None, config).plan(4).first()["length"] == 2501
+    words = lambda c, vocab, eos: F.transform(F.split(c, "m"), lambda x: F.length(x) + eos)
+    assert Pipeline(spark, None, None, config, encoder=words).plan(4).first()["token_ids"] == [len(x) + 2 for x in text.split("m")]
+
+
 @pytest.mark.parametrize("n", [0, 5, 6, 11, 12, 13])
 def test_windows_and_pairs(spark, n):
     ids = list(range(n))

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.order import running
 
 
-def mock_encode(c: Column, vocab: int = 6400, eos: int = 2, most: int = 1000) -> Column:
-    """Code points of the first ``most`` characters modulo the vocabulary, then the end mark;
-    nothing for an empty or null text. Stands in where no tokenizer is loaded."""
-    chars = F.filter(F.split(F.substring(c, 1, most), ""), lambda x: x != "")
+def mock_encode(c: Column, vocab: int = 6400, eos: int = 2) -> Column:
+    """Code points of the whole text modulo the vocabulary, then the end mark; nothing for an
+    empty or null text. Stands in where no tokenizer is loaded."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
     ids = F.transform(chars, lambda x: F.pmod(F.ascii(x), F.lit(vocab)).cast("int"))
     return F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.concat(ids, F.array(F.lit(eos)))).otherwise(F.array().cast("array<int>"))
 
 
+def reference_encode(c: Column, vocab: int = 6400, eos: int = 2) -> Column:
+    """``mock_encode`` of the first 1,000 characters only, as the reference does without a
+    tokenizer; what follows is lost."""
+    return mock_encode(F.substring(c, 1, 1000), vocab, eos)
+
+
 def clamp(ids: Column, vocab: int = 6400) -> Column:
     """Ids beyond the vocabulary become its last."""
     return F.transform(ids, lambda x: F.least(x, F.lit(vocab - 1)))
 
 
-def tokenize(df: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``token_ids`` and ``length`` in place of the text; documents without tokens dropped."""
-    return df.withColumn("token_ids", mock_encode(F.col(text), **how)).withColumn("length", F.size("token_ids")).where("length > 0").drop(text)
+def tokenize(df: DataFrame, text: str = "text", encoder: Callable[..., Column] = mock_encode, **how) -> DataFrame:
+    """``token_ids`` and ``length`` in place of the text; documents without tokens dropped.
+    ``encoder`` makes the column of ids from that of the text, with ``how``."""
+    return df.withColumn("token_ids", encoder(F.col(text), **how)).withColumn("length", F.size("token_ids")).where("length > 0").drop(text)
 
 
 def token_totals(df: DataFrame, keys: list[str]) -> DataFrame:

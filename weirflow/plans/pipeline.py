@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.config import CorpusConfig
@@ -14,7 +15,7 @@ from weirflow.operators.acquire import acquire_chinese, acquire_english
 from weirflow.operators.dedup import exact_dedup, near_duplicates
 from weirflow.operators.order import hash_bucket, id_bucket
 from weirflow.operators.sample import budget_take, exact_split, interleave
-from weirflow.operators.tokens import stream, tokenize, windows
+from weirflow.operators.tokens import mock_encode, stream, tokenize, windows
 from weirflow.sources.manifest import Manifest
 
 
@@ -27,10 +28,12 @@ def clean(docs: DataFrame, config: CorpusConfig) -> DataFrame:
 
 
 class Pipeline:
-    """Runs stages 0 to 6 over raw tables; a complete stage is passed over on resuming."""
+    """Runs stages 0 to 6 over raw tables; a complete stage is passed over on resuming.
+    ``encoder(text, vocab=, eos=)`` gives the ids of stage 4."""
 
-    def __init__(self, spark: SparkSession, raw_zh: DataFrame, raw_en: DataFrame, config: CorpusConfig):
+    def __init__(self, spark: SparkSession, raw_zh: DataFrame, raw_en: DataFrame, config: CorpusConfig, encoder: Callable[..., Column] = mock_encode):
         self.spark, self.raw_zh, self.raw_en, self.config = spark, raw_zh, raw_en, config
+        self.encoder = encoder
         self.manifest = Manifest(config.base_dir)
 
     def read(self, stage: int) -> DataFrame:
@@ -55,7 +58,7 @@ class Pipeline:
         if stage == 3:
             return exact_split(before, ["lang"], "row_no", c.split_ratio, c.random_seed, c.boundary)
         if stage == 4:
-            return tokenize(before, vocab=c.vocab_size, eos=c.eos_token_id)
+            return tokenize(before, encoder=self.encoder, vocab=c.vocab_size, eos=c.eos_token_id)
         if stage == 5:
             data = before.withColumn("uid", F.concat_ws("-", "lang", F.col("row_no").cast("string")))
             return interleave(data, F.col("lang") == "chinese", "uid", ["split"], (c.chinese_ratio, c.english_ratio), c.random_seed).select("split", "round", "shuffle", "uid", F.col("token_ids").alias("input_ids"))

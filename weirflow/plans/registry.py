@@ -273,7 +273,7 @@ _MOCK = """(CASE WHEN coalesce(length(text), 0) > 0 THEN list_transform(string_s
 
 @query(f"SELECT doc_id, len(ids)::INTEGER AS n, list_sum(ids)::BIGINT AS total, list_sum(list_transform(range(1, len(ids) + 1), lambda i: i * ids[i]))::BIGINT AS check FROM (SELECT doc_id, {_MOCK} AS ids FROM documents) WHERE len(ids) > 0")
 def mock_tokenize(spark, d):
-    t = tokens.tokenize(_read(spark, d, "documents").select("doc_id", "text"))
+    t = tokens.tokenize(_read(spark, d, "documents").select("doc_id", "text"), encoder=tokens.reference_encode)
     add = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return t.select("doc_id", F.col("length").alias("n"), add(F.col("token_ids")).alias("total"), add(F.transform("token_ids", lambda x, i: x.cast("bigint") * (i + 1))).alias("check"))
 
