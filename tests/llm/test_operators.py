@@ -237,6 +237,15 @@ def test_statistics_of_odd_rows(odd, samples):
     assert text_stats.not_prose(odd.limit(0), samples).count() == 0
 
 
+def test_usual_pairs_are_those_of_all_documents(spark, samples):
+    rows = [(i, "The old mill measured the river, and nobody knew why.", "en") for i in range(30)] + [(1000 + i, f"Quartz lanterns hum beneath violet harbours number{chr(97 + i)}.", "en") for i in range(2)] + [(2000, "Single sentences stay unusual here.", "en"), (2001, "Single sentences stay unusual here.", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    usual = text_stats.fit(docs, garbled.read_samples(samples), sample_rows=1).usual
+    known = lambda t: [bool(usual[p >> 3] >> (p & 7) & 1) for p in text_stats.pair_hashes(t).tolist()]
+    assert all(known("Quartz lanterns hum beneath violet harbours"))
+    assert not any(known("Single sentences stay unusual here")) and not any(known("The old mill measured the river"))
+
+
 # --- 3: languages
 
 

@@ -8,10 +8,11 @@ are sure give weak labels to a sample of the documents (at most ``sample_rows``,
 hash of the id; a documented bound); the trees are fitted on these, and their probabilities
 are calibrated by a temperature on a holdout that was checked by hand (every second text of
 ``holdout.jsonl``; the others are fitted with the weak labels).
-Which words are usual neighbours is learnt from the same sample.
+Which words are usual neighbours is counted over all documents, equal texts once a task.
 
-The sample is reduced on the executors: the driver receives its statistics and weak labels,
-and at most ``2**NEIGHBOUR_BITS`` hashed pairs of words. Everything else is one narrow pass.
+The pages are taken apart once and written. The sample is reduced on the executors: the
+driver receives its statistics and weak labels, and the counts of at most
+``2**NEIGHBOUR_BITS`` hashed pairs of words.
 
 Defined results: null, empty and blank texts, and pages of nothing but furniture, have no
 kind and zero counts; a text whose loss cannot be restored is prose when its shape is; tables
@@ -47,6 +48,7 @@ FEATURES = (
     "ends_stop", "ends_comma", "stop_density", "marked_lines", "short_lines", "cell_lines", "same_cells", "cells_mean", "number_cells", "segment_words", "long_segments",
     "sentences", "common_words", "usual_pairs", "pairs", "distinct_words", "distinct_pairs", "rare_han", "odd_words", "vowel_words", "lost_ratio", "code_ratio", "hex_ratio", "leader_lines", "same_lines", "inner_symbols", "stamp_lines", "shape_share", "mixed_words", "segments", "shape_numbers", "garbled",
 )
+USUAL = FEATURES.index("usual_pairs")
 
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _HAN = re.compile("[㐀-鿿]")
@@ -154,9 +156,23 @@ def _pieces(cuts: np.ndarray, starts: np.ndarray, cjk: np.ndarray, size: int) ->
     return np.diff(np.concatenate(([0.0], upto)))
 
 
-def statistics(body: list[str], usual: np.ndarray | None, garbled: int = 0) -> list[float]:
+def known_shares(usual: np.ndarray, pairs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Share of usual pairs in each of the pages, whose pairs stand one after another."""
+    upto = np.concatenate(([0], np.cumsum((usual[pairs >> 3] >> (pairs & 7)) & 1, dtype=np.int64)))
+    ends = np.cumsum(sizes)
+    return (upto[ends] - upto[ends - sizes]) / np.maximum(1, sizes)
+
+
+def statistics(body: list[str], usual: np.ndarray, garbled: int = 0) -> list[float]:
     """The values of FEATURES over a page's own lines. ``usual``: bit set of pair
     hashes; ``garbled``: how many of the lines were garbled."""
+    values, pairs = measured(body, garbled)
+    values[USUAL] = float(known_shares(usual, pairs, np.array([len(pairs)]))[0])
+    return values
+
+
+def measured(body: list[str], garbled: int = 0) -> tuple[list[float], np.ndarray]:
+    """The values of FEATURES, without the share of usual pairs, and the pairs of the page."""
     text = "\n".join(body)
     page = _Page(text)
     f, codes, starts = page.flags, page.codes, page.starts
@@ -170,7 +186,6 @@ def statistics(body: list[str], usual: np.ndarray | None, garbled: int = 0) -> l
     vowels = int(np.count_nonzero(np.add.reduceat((f & VOWEL).astype(np.int64), starts)[spelt])) if latin else 0
     counts = np.sort(_runs(page.words))
     pairs = page.pairs()
-    known = float(((usual[pairs >> 3] >> (pairs & 7)) & 1).mean()) if usual is not None and len(pairs) else 0.0
     boxes = text.count("[ ]") + text.count("[x]")
     # lines
     widths = np.array([len(x) for x in body], dtype=np.int64)
@@ -238,11 +253,11 @@ def statistics(body: list[str], usual: np.ndarray | None, garbled: int = 0) -> l
         share(symbols, n), share(digits, n), share(capitals, n), share(np.count_nonzero(space), n),
         share(stops, lines), share(commas, lines), share(len(parts), n_words), share(marks, lines), share(np.count_nonzero(widths < 40), lines),
         share(np.count_nonzero(tabled), lines), share(alike, lines), share(cells.sum(), lines), share(numbers, np.count_nonzero(in_table)), share(of_segments, len(segments)), share(segments[segments >= 9].sum(), of_segments),
-        share(sentences * 12, n_words), share(counts[-8:].sum(), n_words), known, math.log1p(len(pairs)), share(len(counts), n_words), share(len(_runs(pairs)), len(pairs)),
+        share(sentences * 12, n_words), share(counts[-8:].sum(), n_words), 0.0, math.log1p(len(pairs)), share(len(counts), n_words), share(len(_runs(pairs)), len(pairs)),
         share(count(RARE), n), share(np.count_nonzero(lengths > 14), latin), share(vowels, latin), share(sum(map(text.count, "�锟斤拷")), n), share(code, n), share(sum(map(len, _HEX.findall(text))), n) if digits * 8 > n else 0.0,
         share(leaders, lines), share(lines - len(set(body)), lines),
         share(len(_INNER.findall(text)), n_words) if code * 50 > n else 0.0, share(stamps, lines), share(kinds.max(initial=0) if usual_numbers else 0, lines), share(len(_MIXED.findall(text)), n_words) if capitals * 20 > n else 0.0, math.log1p(len(segments)), float(usual_numbers), share(garbled, lines),
-    ]
+    ], pairs
 
 
 def _usual() -> frozenset[str]:
@@ -301,31 +316,77 @@ class ProseModel:
         return x, self.trees.probabilities(x) if len(bodies) else np.zeros((0, len(KINDS)))
 
 
-def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPLE_ROWS) -> ProseModel:
-    """Fits the model on weak labels of at most ``sample_rows`` documents."""
-    # The ids are drawn first, so that no text is sorted or gathered.
-    ids = documents.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id", F.lit(17)).alias("__k")).orderBy("__k", "__id").limit(sample_rows).select("__id").distinct()
-    picked = documents.join(F.broadcast(ids), documents["doc_id"] == F.col("__id"), "left_semi").where(F.length(F.trim("text")) > 0).select("text").dropDuplicates().repartition(16)
-
-    def pairs_of(batch: pa.RecordBatch):
+def taken_apart(documents: DataFrame, samples: tuple[str, ...]) -> DataFrame:
+    """``doc_id, lang, h, s, pairs`` of every document, written once: a hash of its text, its
+    statistics without the share of usual pairs, and its pairs of words."""
+    def part(batch: pa.RecordBatch):
         g = finder(samples)
-        seen = [(body, garbled, np.unique(pair_hashes("\n".join(body))).tolist()) for body, garbled in (body_lines(t, g) for t in batch.column(0).to_pylist()) if body]
-        bodies, garbled, pairs = zip(*seen) if seen else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(bodies, type=pa.list_(pa.string())), pa.array(garbled, type=pa.int32()), pa.array(pairs, type=pa.list_(pa.int32()))], ["body", "garbled", "pairs"])
-
-    # The sample's pages are taken apart once; it is bounded, so is the table.
-    with_pairs = keep_table(map_batches(picked, pairs_of, "body array<string>, garbled int, pairs array<int>"), "prose-sample")
-    counted = with_pairs.select(F.explode("pairs").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("p").toArrow()
-    usual = np.zeros(1 << (NEIGHBOUR_BITS - 3), dtype=np.uint8)
-    p = counted.column("p").to_numpy()
+        for at in range(0, batch.num_rows, 1000):
+            piece = batch.slice(at, 1000)
+            seen = [measured(*body_lines(t, g)) for t in piece.column(2).to_pylist()]
+            columns = pa.array([v for v, _ in seen], type=pa.list_(pa.float64())), pa.array([p.astype(np.int32) for _, p in seen], type=pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(3), *columns], ["doc_id", "lang", "h", "s", "pairs"])
+
+    cut = map_batches(documents.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")), part, "doc_id bigint, lang string, h bigint, s array<double>, pairs array<int>")
+    return keep_table(cut, "prose-pages")
+
+
+def with_usual(usual: np.ndarray, s: pa.Array, pairs: pa.Array) -> np.ndarray:
+    """The statistics of pages as rows, with their share of usual pairs."""
+    x = s.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).copy()
+    x[:, USUAL] = known_shares(usual, pairs.flatten().to_numpy(zero_copy_only=False), pairs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return x
+
+
+def usual_pairs(pages: DataFrame) -> np.ndarray:
+    """Bit set of the pairs of words that different texts have, over all documents. Where so
+    many pairs meet in the table that most places are hit by chance, more texts are asked for."""
+    slots = 1 << NEIGHBOUR_BITS
+
+    def count(batches):
+        n, lo, hi = np.zeros(slots, np.int32), np.full(slots, np.iinfo(np.int64).max), np.full(slots, np.iinfo(np.int64).min)
+        texts: set[int] = set()
+        for batch in batches:
+            for h, pairs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if h in texts:
+                    continue
+                if len(texts) > 1_000_000:
+                    texts.clear()
+                texts.add(h)
+                p = np.unique(pairs.values.to_numpy())
+                n[p] += 1
+                lo[p] = np.minimum(lo[p], h)
+                hi[p] = np.maximum(hi[p], h)
+        p = np.flatnonzero(n)
+        for at in range(0, len(p), 50_000):
+            q = p[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(n[q]), pa.array(lo[q]), pa.array(hi[q])], ["p", "n", "lo", "hi"])
+
+    counted = pages.select("h", "pairs").mapInArrow(count, "p int, n int, lo bigint, hi bigint").groupBy("p").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = counted.select("p", "n", (F.col("lo") != F.col("hi")).alias("differ")).toArrow()
+    p, n = found.column("p").to_numpy(), found.column("n").to_numpy()
+    by_chance = float(np.median(np.concatenate((n, np.zeros(slots - len(n), n.dtype)))))
+    p = p[found.column("differ").to_numpy() & (n >= max(2, by_chance + 6 * math.sqrt(by_chance)))]
+    usual = np.zeros(slots >> 3, dtype=np.uint8)
     np.bitwise_or.at(usual, p >> 3, (1 << (p & 7)).astype(np.uint8))
+    return usual
+
+
+def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPLE_ROWS, pages: DataFrame | None = None) -> ProseModel:
+    """Fits the model on weak labels of at most ``sample_rows`` documents; the usual pairs of
+    words are those of all documents. ``pages``: the table of ``taken_apart``, if at hand."""
+    pages = taken_apart(documents, samples) if pages is None else pages
+    usual = usual_pairs(pages)
+    # The ids are drawn first, so that no text is sorted or gathered.
+    ids = pages.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id", F.lit(17)).alias("__k")).orderBy("__k", "__id").limit(sample_rows).select("__id").distinct()
+    picked = pages.join(F.broadcast(ids), pages["doc_id"] == F.col("__id"), "left_semi").where(F.col("s")[FEATURES.index("n_lines")] > 0).groupBy("h").agg(F.first("s").alias("s"), F.first("pairs").alias("pairs")).repartition(16)
 
     def describe(batch: pa.RecordBatch):
-        rows = [statistics(body, usual, garbled) for body, garbled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        labels = [weak_label(dict(zip(FEATURES, s))) for s in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, type=pa.list_(pa.float64())), pa.array(labels, type=pa.int32())], ["s", "label"])
+        x = with_usual(usual, batch.column(0), batch.column(1))
+        labels = [weak_label(dict(zip(FEATURES, v))) for v in x.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.list_(pa.float64())), pa.array(labels, type=pa.int32())], ["s", "label"])
 
-    told = map_batches(with_pairs.select("body", "garbled"), describe, "s array<double>, label int").where("label >= 0").toArrow()
+    told = map_batches(picked.select("s", "pairs"), describe, "s array<double>, label int").where("label >= 0").toArrow()
     x = np.array(told.column("s").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = told.column("label").to_numpy().astype(np.int64)
     order = np.lexsort((*x.T[::-1], y))
@@ -346,18 +407,18 @@ def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPL
 def text_statistics(documents: DataFrame, lang_samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: ``doc_id, lang``, the statistics, ``kind, confidence``."""
     samples = read_samples(lang_samples)
-    model = fit(documents, samples, sample_rows)
+    pages = taken_apart(documents, samples)
+    model = fit(documents, samples, sample_rows, pages)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     shown = ("n_chars", "n_lines", "n_words", "mean_word", "symbol_ratio", "digit_ratio", "ends_stop", "common_words", "usual_pairs", "distinct_words", "marked_lines", "cell_lines")
     exact = {"n_chars", "n_lines", "n_words"}
 
     def describe(batch: pa.RecordBatch):
-        g = finder(samples)
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            bodies = [body_lines(t, g) for t in part.column(2).to_pylist()]
-            x, p = sent.value.kinds(bodies)
-            full = [bool(b) for b, _ in bodies]
+            x = with_usual(sent.value.usual, part.column(2), part.column(3))
+            p = sent.value.trees.probabilities(x)
+            full = x[:, FEATURES.index("n_lines")] > 0
             columns = []
             for name in shown:
                 v = x[:, FEATURES.index(name)]
@@ -368,7 +429,7 @@ def text_statistics(documents: DataFrame, lang_samples: DataFrame, sample_rows:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, pa.array(kind, type=pa.string()), pa.array(sure, type=pa.float64())], ["doc_id", "lang", *shown, "kind", "confidence"])
 
     schema = "doc_id bigint, lang string, " + ", ".join(f"{n} {'bigint' if n in exact else 'double'}" for n in shown) + ", kind string, confidence double"
-    return map_batches(documents.select("doc_id", "lang", "text"), describe, schema)
+    return map_batches(pages.select("doc_id", "lang", "s", "pairs"), describe, schema)
 
 
 def not_prose(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
