@@ -240,25 +240,61 @@ def test_statistics_of_odd_rows(odd, samples):
 def test_usual_pairs_are_those_of_all_documents(spark, samples):
     rows = [(i, "The old mill measured the river, and nobody knew why.", "en") for i in range(30)] + [(1000 + i, f"Quartz lanterns hum beneath violet harbours number{chr(97 + i)}.", "en") for i in range(2)] + [(2000, "Single sentences stay unusual here.", "en"), (2001, "Single sentences stay unusual here.", "en")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    usual = text_stats.fit(docs, garbled.read_samples(samples), sample_rows=1).usual
-    known = lambda t: [bool(usual[p >> 3] >> (p & 7) & 1) for p in text_stats.pair_hashes(t).tolist()]
-    assert all(known("Quartz lanterns hum beneath violet harbours"))
-    assert not any(known("Single sentences stay unusual here")) and not any(known("The old mill measured the river"))
+    model = text_stats.fit(docs, garbled.read_samples(samples), sample_rows=1)
+    known = lambda t: model.known.share(text_stats.distinct_pairs([t])[0])
+    assert known("Quartz lanterns hum beneath violet harbours") == 1
+    assert known("Single sentences stay unusual here") == 0 and known("The old mill measured the river") == 0
+
+
+def test_pairs_that_meet_by_chance_are_not_usual(spark):
+    rng = random.Random(8)
+    words_ = ["stone", "river", "lamp", "north", "green", "wheel", "paper", "slow", "iron", "glass"]
+    told = [(i, " ".join(f"{a} follows {b}." for a, b in [("stone", "river"), ("lamp", "north")] * 3) + f" note{i}") for i in range(200)]
+    salad = [(1000 + i, " ".join(rng.choice(words_) for _ in range(60))) for i in range(200)]
+    for times in (1, 5):
+        rows = [(k * 10_000 + i, f"{t} copy{chr(97 + k)}") for k in range(times) for i, t in told + salad]
+        known = text_stats.neighbours(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        share = lambda t: known.share(text_stats.distinct_pairs([t])[0])
+        assert share("stone follows river") == 1 and share(" ".join(rng.choice(words_) for _ in range(40))) < 0.3
+    assert text_stats.neighbours(spark.createDataFrame([], "doc_id bigint, text string")).share(np.zeros(3, np.int64)) == 0
+
+
+def test_long_rows_of_a_table_are_rows():
+    row = "\t".join(f"{i}.5" for i in range(90))
+    at = text_stats.FEATURES.index("cell_lines")
+    assert text_stats.measured([row] * 4)[0][at] == 1
+    assert text_stats.measured(["They walked, slowly, along the river; it was late. " * 8] * 2)[0][at] == 0
 
 
 # --- 3: languages
 
 
 def test_languages(spark, samples):
-    model = languages.KernelClassifier([(r["lang"], r["text"]) for r in samples.orderBy("sample_id").collect()])
-    assert model.held_out_accuracy > 0.95
+    model = languages.KernelClassifier([(r["lang"], languages.normalise(r["text"])) for r in samples.orderBy("sample_id").collect()], 20)
+    assert model.held_out_accuracy > 0.9
     text = "Le vieux moulin attire la rivière du village, bien que peu de gens l’aient remarqué. Das kleine Museum erklärt den kurzen Sommer, ohne viel Wärme zu verlieren.\n竹林描述了羊群，这样就不会浪费。 (de leraar uit het dorp)"
     labels = spark.createDataFrame([("fr", "french")], "label string, lang string")
     docs = spark.createDataFrame([(1, text, "fr"), (2, None, "fr"), (3, "", None), (4, "The old mill", "fr")], "doc_id bigint, text string, lang string").withColumn("label", F.lit(0))
-    rows = languages.document_segments(docs, samples).orderBy("doc_id", "segment").collect()
+    rows = languages.document_segments(docs, samples, labels).orderBy("doc_id", "segment").collect()
     assert [(r["doc_id"], r["lang"]) for r in rows] == [(1, "french"), (1, "german"), (1, "chinese"), (2, None), (3, None), (4, None)]
     assert {(r["doc_id"], r["lang"]) for r in languages.unnamed_languages(docs, samples, labels).collect()} == {(1, "german"), (1, "chinese")}
-    assert {r["doc_id"]: r["languages"] for r in languages.document_languages(docs, samples).collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["languages"] for r in languages.document_languages(docs, samples, labels).collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
+
+
+def test_rows_hold_with_half_of_the_samples(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "lang_labels"))
+    whole = spark.read.parquet("/root/testdata/sf0.01/lang_samples.parquet")
+    model = text_stats.fit(docs, garbled.read_samples(whole))
+    full, half = ({tuple(r) for r in languages.unnamed_languages(docs, s, labels, model=model).collect()} for s in (whole, whole.where("sample_id % 2 = 0")))
+    assert len(full) > 100 and len(full ^ half) <= 0.03 * len(full)
+
+
+def test_every_n_gram_is_in_the_table(samples):
+    rows = languages.trained_on([(r["lang"], r["text"]) for r in samples.orderBy("sample_id").collect()], [])
+    model = languages.KernelClassifier(rows)
+    assert (model.keys >= 0).sum() == len(model.weights) - 1
+    alone = np.array([model.classify([s])[0] for _, s in rows[:40]])
+    assert np.allclose(alone, model.classify([s for _, s in rows[:40]]))
 
 
 # --- 6: overlaps

@@ -2,13 +2,19 @@
 
 Method: string-kernel classification. Sentences are compared by the blended-spectrum
 presence kernel, the number of character n-grams (n = 1..4) they share, normalised by the
-sizes of both sets. Landmarks are drawn from the sample sentences of each language (a fixed
-table); the Nyström map over the landmarks and one-versus-rest kernel ridge regression give
-a weight matrix over landmarks, which the landmarks' own n-grams turn into one weight row
-per n-gram. Scoring a batch of sentences is then one product of their sparse presence matrix
-with that weight matrix; softmax with a temperature found by cross-validation on the samples
-gives the confidence. Han characters are folded into one sign, and runs of more than four of
-them into four, which leaves the presence sets as they are.
+sizes of both sets. The classifier is fitted on the sample sentences of each language (a
+fixed table) and on sentences of a bounded sample of labelled documents (at most
+``SAMPLE_ROWS``, drawn by a hash of the id, ``PER_PAGE`` sentences of each): a sentence that
+several of them hold belongs to the language that most of their labels name, one that stands
+alone to its document's language; a first classifier, fitted on the samples only, weighs in
+on the former and has to agree to the latter. Of these, ``TRAINED`` sentences a language are taken so that
+they cover the usual n-grams, the first ``LANDMARKS`` of them as landmarks; the Nyström map
+over the landmarks and one-versus-rest kernel ridge regression give a weight matrix over
+landmarks, which the landmarks' own n-grams turn into one weight row per n-gram. Scoring a
+batch of sentences is then one product of their sparse presence matrix with that weight
+matrix; softmax with a temperature found by cross-validation gives the confidence. Han
+characters are folded into one sign, and runs of more than four of them into four, which
+leaves the presence sets as they are.
 
 Documents are read as problem 9 restores them and without the furniture problem 5 finds.
 Titles, list items and bracketed terms are no sentences. Adjoining sentences of one language
@@ -21,26 +27,31 @@ repeated rows come out as often as they went in; empty tables give empty results
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import unicodedata
-from functools import lru_cache
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weirflow.llm.arrow import map_batches
 from weirflow.llm.garbled import finder, read_samples
 from weirflow.llm.page_body import _BULLET, _LOST, _lost_lines, page_lines, paths, scores, THRESHOLD
-from weirflow.llm.text_stats import KINDS, ProseModel, fit, statistics
+from weirflow.llm.text_stats import KINDS, SAMPLE_ROWS, ProseModel, drawn, fit, statistics
 
 ORDERS = (1, 2, 3, 4)
-LANDMARKS = 25
+LANDMARKS, TRAINED, PER_PAGE = 80, 250, 10
 TABLE_BITS = 18
 HASH_BITS = 40
 BATCH = 200
 _BRACKETS = re.compile(r"\([^()]{0,80}\)|（[^（）]{0,80}）|\[[^\[\]]{0,40}\]")
 _SPLIT = re.compile(r"(?<=[。！？])[”」』）]*|(?<=[.!?…])[”\"»’)]*\s+")
+_HAN = re.compile("[㐀-鿿々]")
 _HANS = re.compile("[㐀-鿿々]+")
 _OTHER = re.compile(r"[\W\d_]+")
 _CLOSED = re.compile("[.!?。！？…][”\"』」»)）’]*\\s*[»”]?\\s*$")
@@ -49,71 +60,72 @@ _ENDS_COMMA = re.compile("[,，;；、:：]$")
 
 def normalise(sentence: str) -> str:
     """What the kernel sees: small letters, one blank for anything else, folded Han."""
-    s = unicodedata.normalize("NFC", sentence).lower()
-    s = _HANS.sub(lambda m: "汉" * min(4, m.end() - m.start()), s)
+    if sentence.isascii():
+        s = sentence.lower()
+    else:
+        s = unicodedata.normalize("NFC", sentence).lower()
+        if _HAN.search(s):
+            s = _HANS.sub(lambda m: "汉" * min(4, m.end() - m.start()), s)
     return " " + _OTHER.sub(" ", s).strip() + " "
 
 
 class KernelClassifier:
-    """Nyström map over landmarks, one-versus-rest kernel ridge regression."""
+    """Nyström map over landmarks, one-versus-rest kernel ridge regression. ``rows``: language
+    and normalised sentence; the first ``per_language`` of each language are its landmarks."""
 
     def __init__(self, rows: list[tuple[str, str]], per_language: int = LANDMARKS, ridge: float = 0.05):
-        texts = [normalise(t) for _, t in rows]
         self.langs = sorted({lang for lang, _ in rows})
-        y = np.array([self.langs.index(lang) for lang, _ in rows])
-        grams = [self._grams(t) for t in texts]
-        marks = [i for k in range(len(self.langs)) for i in sorted(np.flatnonzero(y == k), key=lambda i: (-len(grams[i]), texts[i]))[:per_language]]
+        y = np.array([self.langs.index(lang) for lang, _ in rows], dtype=np.int64)
+        grams = [spectrum(t) for _, t in rows]
+        marks = [i for k in range(len(self.langs)) for i in np.flatnonzero(y == k)[:per_language].tolist()]
         vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(grams[i] for i in marks))))}
-        size = len(vocabulary)
-        presence = np.zeros((len(rows), size), dtype=np.float32)
-        norm = np.sqrt([max(1, len(g)) for g in grams])
+        presence = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
         for i, gs in enumerate(grams):
-            presence[i, [vocabulary[g] for g in gs if g in vocabulary]] = 1 / norm[i]
+            presence[i, [vocabulary[g] for g in gs if g in vocabulary]] = 1 / math.sqrt(max(1, len(gs)))
         self.temperature = self._temperature(presence, marks, y, ridge)
-        self.weights = self._solve(presence, marks, y, ridge).astype(np.float32)
-        # n-gram -> row of the weights, as an open table over a 64-bit hash
+        self.weights = np.vstack([np.zeros((1, len(self.langs)), np.float32), self._solve(presence, marks, y, ridge).astype(np.float32)])
+        # n-gram -> row of the weights: an open table over its hash, probed place by place
         self.keys = np.full(1 << TABLE_BITS, -1, dtype=np.int64)
         self.slots = np.zeros(1 << TABLE_BITS, dtype=np.int32)
+        self.probes = 1
         for g, i in vocabulary.items():
-            h = int(self._hash(np.array([ord(c) for c in g], dtype=np.uint64), len(g))[0] >> np.uint64(64 - HASH_BITS))
-            at = h >> HASH_BITS - TABLE_BITS
+            h = int(self._hashes(np.array([ord(c) for c in g], dtype=np.uint64), len(g))[-1][0])
+            at, step = h >> HASH_BITS - TABLE_BITS, 1
+            while self.keys[at] >= 0:
+                at, step = (at + 1) & (1 << TABLE_BITS) - 1, step + 1
             self.keys[at], self.slots[at] = h, i + 1
-        self.weights = np.vstack([np.zeros((1, len(self.langs)), np.float32), self.weights])
-        self._known: dict[str, np.ndarray] = {}
+            self.probes = max(self.probes, step)
 
     @staticmethod
-    def _grams(s: str) -> set[str]:
-        return {s[i:i + n] for n in ORDERS for i in range(len(s) - n + 1)}
-
-    @staticmethod
-    def _hash(codes: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of all n-grams of the code points."""
-        h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
-        for i in range(n):
-            h = (h ^ codes[i:len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+    def _hashes(codes: np.ndarray, most: int) -> list[np.ndarray]:
+        """Hashes of all n-grams of the code points, n = 1..``most``."""
+        out, h = [], np.zeros(len(codes), dtype=np.uint64)
+        for n in range(1, most + 1):
+            h = (h[:len(codes) - n + 1] ^ codes[n - 1:]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return h * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((h >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+        return out
 
     def _solve(self, presence: np.ndarray, marks: list[int], y: np.ndarray, ridge: float, rows: np.ndarray | None = None) -> np.ndarray:
         rows = np.arange(len(y)) if rows is None else rows
-        base = presence[marks].astype(np.float64)
-        values, vectors = np.linalg.eigh(base @ base.T)
-        keep = values > 1e-8
+        base = presence[marks]
+        values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+        keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        features = presence[rows].astype(np.float64) @ base.T @ root
+        features = (presence[rows] @ base.T).astype(np.float64) @ root
         targets = np.where(np.arange(len(self.langs)) == y[rows][:, None], 1.0, -1.0 / max(1, len(self.langs) - 1))
         w = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ targets)
-        return base.T @ (root @ w)
+        return base.T @ (root @ w).astype(np.float32)
 
     def _temperature(self, presence: np.ndarray, marks: list[int], y: np.ndarray, ridge: float) -> float:
-        """Scale of the scores that gives held-out samples (five folds) the least log loss."""
+        """Scale of the scores that gives held-out sentences (three folds) the least log loss."""
         z = np.zeros((len(y), len(self.langs)))
-        for fold in range(5):
-            out = np.arange(len(y)) % 5 == fold
+        for fold in range(3):
+            out = np.arange(len(y)) % 3 == fold
             m = [i for i in marks if not out[i]]
             if m and (~out).any():
                 z[out] = presence[out] @ self._solve(presence, m, y, ridge, np.flatnonzero(~out))
-        self.held_out_accuracy = float((z.argmax(axis=1) == y).mean())
+        self.held_out_accuracy = float((z.argmax(axis=1) == y).mean()) if len(y) else 0.0
         best = (np.inf, 10.0)
         for b in np.geomspace(2, 60, 30):
             s = z * b - (z * b).max(axis=1, keepdims=True)
@@ -122,41 +134,92 @@ class KernelClassifier:
 
     def classify(self, sentences: list[str]) -> np.ndarray:
         """Probabilities of the languages, a row for each normalised sentence."""
-        fresh = [s for s in dict.fromkeys(sentences) if s not in self._known]
-        if len(self._known) > 100_000:
-            self._known.clear()
-            fresh = list(dict.fromkeys(sentences))
-        if fresh:
-            lengths = np.array([len(s) for s in fresh])
-            codes = np.frombuffer("".join(fresh).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-            owner = np.repeat(np.arange(len(fresh)), lengths)
-            ends = np.repeat(np.cumsum(lengths), lengths)
-            scores = np.zeros((len(fresh), len(self.langs)), dtype=np.float64)
-            total = np.zeros(len(fresh))
-            for n in ORDERS:
-                if len(codes) < n:
-                    continue
-                h = self._hash(codes, n)
-                inside = np.arange(n, len(codes) + 1) <= ends[: len(h)]
-                # owner and hash in one number: a plain sort brings equal n-grams together
-                key = (owner[: len(h)][inside] << HASH_BITS) | (h[inside] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-                key.sort()
-                key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-                o, h = key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
-                total += np.bincount(o, minlength=len(fresh))
-                at = h >> (HASH_BITS - TABLE_BITS)
-                hit = self.keys[at] == h
-                slot, o = self.slots[at[hit]], o[hit]
-                if len(o):
-                    # presence matrix (sentences x n-grams, rows in order) times the weights
-                    starts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                    scores[o[starts]] += np.add.reduceat(self.weights[slot], starts, axis=0)
-            scores /= np.sqrt(np.maximum(1, total))[:, None]
-            z = scores * self.temperature
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            self._known.update(zip(fresh, p))
-        return np.array([self._known[s] for s in sentences]).reshape(len(sentences), len(self.langs))
+        known = {s: i for i, s in enumerate(dict.fromkeys(sentences))}
+        if not known:
+            return np.zeros((0, len(self.langs)))
+        lengths = np.array([len(s) for s in known])
+        codes = np.frombuffer("".join(known).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(known)) << HASH_BITS, lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+        # owner and hash in one number: a plain sort brings equal n-grams together
+        key = np.concatenate([(owner[:len(h)] | h)[left[:len(h)] >= n] for n, h in enumerate(self._hashes(codes, min(len(codes), ORDERS[-1])), 1)])
+        key.sort()
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        o, h = key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
+        total = np.bincount(o, minlength=len(known))
+        at = h >> (HASH_BITS - TABLE_BITS)
+        there = self.keys[at]
+        slot = np.where(there == h, self.slots[at], 0)
+        rest = np.flatnonzero((there != h) & (there >= 0))
+        for step in range(1, self.probes):
+            if not len(rest):
+                break
+            place = (at[rest] + step) & (1 << TABLE_BITS) - 1
+            there = self.keys[place]
+            same = there == h[rest]
+            slot[rest[same]] = self.slots[place[same]]
+            rest = rest[~same & (there >= 0)]
+        # presence matrix (sentences x n-grams, rows in order) times the weights
+        starts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+        z = np.add.reduceat(self.weights[slot], starts, axis=0).astype(np.float64) / np.sqrt(total)[:, None] * self.temperature
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return p[[known[s] for s in sentences]]
+
+
+def spectrum(s: str) -> set[str]:
+    """The n-grams of a normalised sentence."""
+    return {s[i:i + n] for n in ORDERS for i in range(len(s) - n + 1)}
+
+
+def covering(counted: Counter, most: int) -> list[str]:
+    """At most ``most`` of the sentences, each next one adding the most of the usual n-grams
+    for its length."""
+    items = sorted(counted.items(), key=lambda x: (-x[1], hash_of(x[0]), x[0]))[:4 * most]
+    seen: Counter = Counter()
+    grams = [spectrum(s) for s, _ in items]
+    for g, (_, n) in zip(grams, items):
+        for x in g:
+            seen[x] += n
+    worth = {x: math.log(n) for x, n in seen.items() if n > 1}
+    size = [math.sqrt(max(1, len(g))) for g in grams]
+    grams = [g & worth.keys() for g in grams]
+    have: set[str] = set()
+    gain = lambda i: sum(worth[x] for x in grams[i] - have) / size[i]
+    heap = [(-gain(i), i) for i in range(len(items))]
+    heapq.heapify(heap)
+    out = []
+    while heap and len(out) < most:
+        _, i = heapq.heappop(heap)
+        now = gain(i)
+        if heap and now < -heap[0][0] - 1e-12:
+            heapq.heappush(heap, (-now, i))
+            continue
+        out.append(items[i][0])
+        have |= grams[i]
+    return out
+
+
+def trained_on(rows: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Language and normalised sentence to fit on, landmarks first. ``rows``: the sample
+    sentences; ``labelled``: language of the document's label and normalised sentence."""
+    first = [(lang, normalise(t)) for lang, t in rows]
+    langs = sorted({lang for lang, _ in first})
+    if not langs:
+        return []
+    per: dict[str, Counter] = {}
+    for lang, s in labelled:
+        if lang in langs:
+            per.setdefault(s, Counter())[lang] += 1
+    base = KernelClassifier(first, max(1, max(Counter(lang for lang, _ in first).values()) * 4 // 5))
+    found: dict[str, Counter] = {lang: Counter() for lang in langs}
+    for (s, c), p in zip(per.items(), base.classify(list(per))):
+        lang = max(sorted(c), key=lambda k: c[k] * (0.3 + p[langs.index(k)]))
+        if c.total() >= 3 or p[langs.index(lang)] >= min(0.2, p.max()):
+            found[lang][s] += c.total()
+    for lang, s in first:
+        found[lang][s] += 1
+    return [(lang, s) for lang in langs for s in covering(found[lang], TRAINED)]
 
 
 def sentences(lines: list[str], own: list[tuple[str, str] | None], bad: list[bool]) -> list[str]:
@@ -195,19 +258,16 @@ def sentences(lines: list[str], own: list[tuple[str, str] | None], bad: list[boo
     return [s for s in (s.strip() for s in out) if s]
 
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_SIGNS = re.compile("[汉\u3040-\u30ff]")
 
 
 def long_enough(normal: str) -> bool:
-    """A whole sentence: at least three words, or four Chinese or Japanese signs."""
-    words = _WORDS.findall(normal)
-    return len(words) >= 3 or sum(len(w) for w in words if re.search("[汉぀-ヿ]", w)) >= 4
-
-
-@lru_cache(maxsize=2)
-def classifier(rows: tuple[tuple[str, str], ...]) -> KernelClassifier:
-    """The classifier of this worker."""
-    return KernelClassifier(list(rows))
+    """A whole sentence: at least three words of two letters or more, or four Chinese or
+    Japanese signs."""
+    words = normal.split()
+    if sum(len(w) > 1 for w in words) >= 3:
+        return True
+    return not normal.isascii() and sum(len(w) for w in words if _SIGNS.search(w)) >= 4
 
 
 def page_sentences(text: str | None, g) -> tuple[list[tuple[str, int]], list[str], int]:
@@ -221,7 +281,7 @@ def page_sentences(text: str | None, g) -> tuple[list[tuple[str, int]], list[str
     bad = [s is not None and s < THRESHOLD for s in scores(lines, own)]
     body = [x for x, b in zip(lines, bad) if x and not b]
     garbled = sum(h for x, b, h in zip(lines, bad, hit) if x and not b)
-    told = [(n, len(s)) for s in sentences(lines, own, bad) if len(_LOST.findall(s)) * 6 < len(s) and long_enough(n := normalise(s))]
+    told = [(n, len(s)) for s in sentences(lines, own, bad) if (s.isascii() or len(_LOST.findall(s)) * 6 < len(s)) and long_enough(n := normalise(s))]
     return told, body, garbled
 
 
@@ -250,33 +310,70 @@ def segments(texts: list[str | None], model: KernelClassifier, g) -> list[tuple[
 
 
 def in_context(p: np.ndarray, floor: float = 0.03) -> np.ndarray:
-    """Probabilities of a document's sentences, weighted by the languages of its sure ones:
-    a short sentence that could be one of two related languages goes to the one that the
-    document uses elsewhere."""
-    sure = p[p.max(axis=1) >= 0.9]
-    if not len(sure):
+    """Probabilities of a document's sentences: an unsure sentence, one below 0.9, is weighed
+    between its two likeliest languages by the languages of the document's sure ones. A sure
+    sentence stays as it is, however long the document."""
+    sure = p.max(axis=1) >= 0.9
+    if not sure.any() or sure.all():
         return p
-    q = p * (floor + sure.mean(axis=0))
+    second = np.sort(p, axis=1)[:, -2:-1]
+    share = np.where(p >= second, floor + p[sure].mean(axis=0), 0.0)
+    q = np.where(sure[:, None], p, p * share)
     return q / q.sum(axis=1, keepdims=True)
 
 
-def _read_model(lang_samples: DataFrame, limit: int = 20_000) -> tuple[tuple[str, str], ...]:
+def _read_model(lang_samples: DataFrame, limit: int = 20_000) -> list[tuple[str, str]]:
     rows = lang_samples.where("text is not null and lang is not null").select("sample_id", "lang", "text").orderBy("sample_id", "lang", "text").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} sample sentences")
-    return tuple((r["lang"], r["text"]) for r in rows)
+    return [(r["lang"], r["text"]) for r in rows]
+
+
+def _read_labels(lang_labels: DataFrame, limit: int = 10_000) -> dict[str, str]:
+    rows = lang_labels.where("label is not null").select("label", "lang").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} labels")
+    return {r["label"]: r["lang"] for r in rows}
+
+
+def fit_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample: DataFrame | None = None) -> KernelClassifier:
+    """The classifier, fitted on the sample sentences and on at most ``PER_PAGE`` sentences
+    of each of at most ``sample_rows`` labelled documents (or of those in ``sample``, the
+    table of ``drawn``). The sentences are taken out on the executors."""
+    samples, named = read_samples(lang_samples), _read_labels(lang_labels)
+    sample = drawn(documents, sample_rows) if sample is None else sample
+
+    def take(batch: pa.RecordBatch):
+        g = finder(samples)
+        langs, found = [], []
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if named.get(label) is not None:
+                told = sorted({n for n, _ in page_sentences(text, g)[0]}, key=lambda n: (hash_of(n), n))[:PER_PAGE]
+                found += told
+                langs += [named[label]] * len(told)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(found, type=pa.string())], ["lang", "sentence"])
+
+    told = map_batches(sample.select("lang", "text"), take, "lang string, sentence string").toArrow()
+    labelled = sorted(zip(told.column("lang").to_pylist(), told.column("sentence").to_pylist()))
+    return KernelClassifier(trained_on(_read_model(lang_samples), labelled))
+
+
+def hash_of(s: str) -> int:
+    """A hash of a text that is the same in every process."""
+    return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
 
 SEGMENTS = "doc_id bigint, label string, segment int, lang string, confidence double, chars int"
 
 
-def document_segments(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
+def document_segments(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame) -> DataFrame:
     """One row per segment: ``doc_id, label, segment, lang, confidence, chars``. A document
     without any whole sentence has one row with null lang."""
-    samples, rows = read_samples(lang_samples), _read_model(lang_samples)
+    samples = read_samples(lang_samples)
+    sent = documents.sparkSession.sparkContext.broadcast(fit_languages(documents, lang_samples, lang_labels))
 
     def tell(batch: pa.RecordBatch):
-        g, model = finder(samples), classifier(rows)
+        g, model = finder(samples), sent.value
         out = []
         for at in range(0, batch.num_rows, BATCH):
             keys, labels, texts = (c.to_pylist() for c in batch.slice(at, BATCH).columns)
@@ -287,12 +384,10 @@ def document_segments(documents: DataFrame, lang_samples: DataFrame) -> DataFram
     return map_batches(documents.select("doc_id", "lang", "text"), tell, SEGMENTS)
 
 
-def document_languages(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
+def document_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame) -> DataFrame:
     """One row per document: its label, the language of most of its text, the confidence,
     the share of that language and the number of its languages."""
-    from pyspark.sql import functions as F
-
-    per = document_segments(documents, lang_samples).groupBy("doc_id", "label", "lang").agg(F.sum("chars").alias("chars"), F.max("confidence").alias("confidence"))
+    per = document_segments(documents, lang_samples, lang_labels).groupBy("doc_id", "label", "lang").agg(F.sum("chars").alias("chars"), F.max("confidence").alias("confidence"))
     most = F.max(F.struct("chars", F.col("confidence"), "lang"))
     return per.groupBy("doc_id", "label").agg(most.alias("m"), F.sum("chars").alias("all"), F.count("lang").cast("int").alias("languages")).select(
         "doc_id", "label", F.col("m.lang").alias("lang"), F.col("m.confidence").alias("confidence"), F.when(F.col("all") > 0, F.col("m.chars") / F.col("all")).alias("share"), "languages")
@@ -301,21 +396,22 @@ def document_languages(documents: DataFrame, lang_samples: DataFrame) -> DataFra
 def unnamed_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame, sure: float = 0.6, model: ProseModel | None = None) -> DataFrame:
     """``doc_id, lang``: languages of whole sentences that the document's label does not
     name. Only documents with such a language are held against problem 1's model, which
-    leaves out those that are no prose."""
-    samples, rows = read_samples(lang_samples), _read_model(lang_samples)
-    named = {r["label"]: r["lang"] for r in lang_labels.select("label", "lang").distinct().limit(10_000).collect() if r["label"] is not None}
-    prose = model or fit(documents, samples)
-    sent = documents.sparkSession.sparkContext.broadcast(prose)
+    leaves out those that are no prose. Both models are fitted on one sample."""
+    samples, named = read_samples(lang_samples), _read_labels(lang_labels)
+    context = documents.sparkSession.sparkContext
+    sample = drawn(documents)
+    told_by = context.broadcast(fit_languages(documents, lang_samples, lang_labels, sample=sample))
+    sent = context.broadcast(model or fit(documents, samples, sample=sample))
 
     def tell(batch: pa.RecordBatch):
-        g, kernel = finder(samples), classifier(rows)
+        g = finder(samples)
         found = []
         for at in range(0, batch.num_rows, BATCH):
             keys, labels, texts = (c.to_pylist() for c in batch.slice(at, BATCH).columns)
-            for key, label, (runs, body, garbled) in zip(keys, labels, segments(texts, kernel, g)):
+            for key, label, (runs, body, garbled) in zip(keys, labels, segments(texts, told_by.value, g)):
                 other = sorted({lang for lang, c, _ in runs if c >= sure and lang != named.get(label)})
                 if other:
-                    found.append((key, other, statistics(body, sent.value.usual, garbled)))
+                    found.append((key, other, statistics(body, sent.value.known, garbled)))
         keep = []
         if found:
             kinds = sent.value.trees.probabilities(np.array([s for _, _, s in found])).argmax(axis=1)

@@ -41,11 +41,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.document_segments(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+    return languages.document_segments(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"), _read(spark, sf_dir, "lang_labels"))
 
 
 def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.document_languages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"))
+    return languages.document_languages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "lang_samples"), _read(spark, sf_dir, "lang_labels"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

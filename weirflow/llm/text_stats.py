@@ -8,11 +8,13 @@ are sure give weak labels to a sample of the documents (at most ``sample_rows``,
 hash of the id; a documented bound); the trees are fitted on these, and their probabilities
 are calibrated by a temperature on a holdout that was checked by hand (every second text of
 ``holdout.jsonl``; the others are fitted with the weak labels).
-Which words are usual neighbours is counted over all documents, equal texts once a task.
+Which words are usual neighbours is counted over all documents (``neighbours``): a pair is
+usual where at least two different texts have it and it is seen more often than its words
+would meet by chance, a measure that does not change with the size of the corpus.
 
-The pages are taken apart once and written. The sample is reduced on the executors: the
-driver receives its statistics and weak labels, and the counts of at most
-``2**NEIGHBOUR_BITS`` hashed pairs of words.
+A first pass counts the pairs (a table of fixed size leaves each task), the sample is drawn
+by id and written once, and a last pass takes every page apart and judges it. The driver
+receives the sample's statistics and the counts of ``2**NEIGHBOUR_BITS`` hashed pairs.
 
 Defined results: null, empty and blank texts, and pages of nothing but furniture, have no
 kind and zero counts; a text whose loss cannot be restored is prose when its shape is; tables
@@ -38,10 +40,13 @@ from weirflow.llm.arrow import map_batches
 from weirflow.llm.boosting import BoostedTrees
 from weirflow.llm.garbled import Garbled, finder, read_samples
 from weirflow.llm.page_body import furniture, page_lines
-from weirflow.session import keep_table
+from weirflow.session import keep_table, ship
 
 KINDS = ("prose", "list", "table", "junk")
 NEIGHBOUR_BITS = 21
+WORD_BITS = 16
+CHUNK_BITS = 15
+BY_CHANCE = 1.5
 SAMPLE_ROWS = 4_000
 FEATURES = (
     "n_chars", "n_lines", "n_words", "mean_word", "max_word", "mean_line", "long_lines", "symbol_ratio", "digit_ratio", "upper_ratio", "space_ratio",
@@ -128,14 +133,14 @@ class _Page:
             self.words, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def pairs(self) -> np.ndarray:
-        """Hashes of neighbouring words, stable across processes."""
+        """Neighbouring words as one number each, stable across processes: the hash of the
+        pair, and of its first and its second word."""
         h = self.words
-        return ((h[:-1] * np.uint64(1_000_003) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - NEIGHBOUR_BITS)).astype(np.int64)
-
-
-def pair_hashes(text: str) -> np.ndarray:
-    """Hashes of the neighbouring words of a text."""
-    return _Page(text).pairs() if text else np.zeros(0, np.int64)
+        if len(h) < 2:
+            return np.zeros(0, np.int64)
+        pair = (h[:-1] * np.uint64(1_000_003) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - NEIGHBOUR_BITS)
+        word = h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - WORD_BITS)
+        return ((pair << np.uint64(2 * WORD_BITS)) | (word[:-1] << np.uint64(WORD_BITS)) | word[1:]).astype(np.int64)
 
 
 def body_lines(text: str | None, g: Garbled) -> tuple[list[str], int]:
@@ -156,18 +161,31 @@ def _pieces(cuts: np.ndarray, starts: np.ndarray, cjk: np.ndarray, size: int) ->
     return np.diff(np.concatenate(([0.0], upto)))
 
 
-def known_shares(usual: np.ndarray, pairs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Share of usual pairs in each of the pages, whose pairs stand one after another."""
-    upto = np.concatenate(([0], np.cumsum((usual[pairs >> 3] >> (pairs & 7)) & 1, dtype=np.int64)))
-    ends = np.cumsum(sizes)
-    return (upto[ends] - upto[ends - sizes]) / np.maximum(1, sizes)
+class Neighbours:
+    """How often words stand next to each other: for each hashed pair the number of texts
+    that have it, for each hashed word how often it is the first or the second of a pair,
+    as logarithms in eighths (a byte each)."""
+
+    def __init__(self, pairs: np.ndarray, first: np.ndarray, second: np.ndarray):
+        n = np.concatenate((pairs, first, second)).astype(np.float64)
+        n = np.where(n > 0, np.rint(8 * np.log2(np.maximum(1, n))), 0).astype(np.uint8)
+        self.pairs, self.first, self.second = np.split(n, [len(pairs), len(pairs) + len(first)])
+        self.level = 8 * math.log2(BY_CHANCE / max(1.0, float(first.sum())))
 
+    def share(self, pairs: np.ndarray) -> float:
+        """Share of the pairs of a page that are usual."""
+        if not len(pairs):
+            return 0.0
+        n = self.pairs[pairs >> 2 * WORD_BITS].astype(np.int32)
+        by_chance = self.first[pairs >> WORD_BITS & (1 << WORD_BITS) - 1].astype(np.int32) + self.second[pairs & (1 << WORD_BITS) - 1]
+        return float(np.count_nonzero((n >= 8) & (n >= by_chance + self.level))) / len(pairs)
 
-def statistics(body: list[str], usual: np.ndarray, garbled: int = 0) -> list[float]:
-    """The values of FEATURES over a page's own lines. ``usual``: bit set of pair
-    hashes; ``garbled``: how many of the lines were garbled."""
+
+def statistics(body: list[str], known: Neighbours, garbled: int = 0) -> list[float]:
+    """The values of FEATURES over a page's own lines; ``garbled``: how many of the lines
+    were garbled."""
     values, pairs = measured(body, garbled)
-    values[USUAL] = float(known_shares(usual, pairs, np.array([len(pairs)]))[0])
+    values[USUAL] = known.share(pairs)
     return values
 
 
@@ -219,23 +237,26 @@ def measured(body: list[str], garbled: int = 0) -> tuple[list[float], np.ndarray
     wordy = total((f & (LETTER | CJK)) != 0) > 0
     row_of = np.searchsorted(ends, np.append(cuts, size) - 1) if size else np.zeros(0, np.int64)
     row_of = np.minimum(row_of, lines - 1)
-    open_rows = widths < 200
     cells = np.bincount(row_of[used], minlength=lines) if size else np.zeros(lines, np.int64)
+    # A long line is a row only if sentences do not end in it.
+    full = stop & (((following & (SPACE | QUOTE)) != 0) | (codes > 0x2000))
+    if size:
+        full[-1] = stop[-1]
+    open_rows = np.ones(lines, bool)
+    if len(body):
+        open_rows = (widths < 200) | (4 * np.bincount(np.searchsorted(ends, np.flatnonzero(full)), minlength=lines)[:lines] <= cells)
     cells = np.where(open_rows, cells, 1) if len(body) else cells
-    tabled = (cells >= 2) & open_rows if len(body) else cells >= 2
+    tabled = (cells >= 2) & open_rows
     in_table = used & tabled[row_of] if size else used
     numbers = int(np.count_nonzero(in_table & ~wordy))
     alike = np.bincount(cells[tabled]).max(initial=0) if tabled.any() else 0
     # numbers in the lines
     began = digit & ~np.concatenate(([False], digit[:-1])) if size else digit
     per_line = np.bincount(np.searchsorted(ends, np.flatnonzero(began)), minlength=lines)[:lines]
-    per_line = per_line[open_rows] if len(body) else per_line
+    per_line = per_line[open_rows]
     kinds = np.bincount(per_line[per_line > 0]) if (per_line > 0).any() else np.zeros(1, np.int64)
     usual_numbers = int(kinds.argmax())
     # pieces between separators, and sentences
-    full = stop & (((following & (SPACE | QUOTE)) != 0) | (codes > 0x2000))
-    if size:
-        full[-1] = stop[-1]
     dots = np.zeros_like(space)
     dots[1:] = (codes[1:] == 46) & (codes[:-1] == 46)
     gaps = np.zeros_like(space)
@@ -266,8 +287,10 @@ def _usual() -> frozenset[str]:
     return usual_han()
 
 
-def weak_label(s: dict[str, float]) -> int:
-    """Index in KINDS, or -1 where no rule is sure."""
+def weak_label(s: dict[str, float], prose: float = 1.0) -> int:
+    """Index in KINDS, or -1 where no rule is sure. ``prose``: the share of usual pairs that
+    plain sentences have in this corpus, which is less in a small one."""
+    usual = s["usual_pairs"] / max(prose, 1e-6)
     few = s["ends_stop"] < 0.1 and s["sentences"] < 0.1
     if s["lost_ratio"] > 0.02 or s["garbled"] > 0.3:
         return 0 if s["ends_stop"] > 0.3 or s["mean_line"] > math.log1p(40) else -1
@@ -283,13 +306,13 @@ def weak_label(s: dict[str, float]) -> int:
         return 3
     if s["distinct_pairs"] < 0.15 and s["n_chars"] > math.log1p(200) and s["distinct_words"] < 0.15 and s["number_cells"] < 0.2 and s["leader_lines"] < 0.3 and s["ends_stop"] < 0.3:
         return 3
-    if s["vowel_words"] < 0.75 and s["n_words"] > math.log1p(15) and s["usual_pairs"] < 0.2 and s["digit_ratio"] < 0.1 and s["mean_word"] > 2:
+    if s["vowel_words"] < 0.75 and s["n_words"] > math.log1p(15) and usual < 0.5 and s["digit_ratio"] < 0.1 and s["mean_word"] > 2:
         return 3
-    if s["pairs"] > math.log1p(25) and s["usual_pairs"] < 0.35 and s["digit_ratio"] < 0.1 and s["long_segments"] > 0.8 and s["mean_line"] > math.log1p(40) and s["ends_stop"] < 0.5:
+    if s["pairs"] > math.log1p(25) and usual < 0.65 and s["digit_ratio"] < 0.1 and s["long_segments"] > 0.8 and s["mean_line"] > math.log1p(40) and s["ends_stop"] < 0.5:
         return 3
     if s["n_lines"] >= math.log1p(3) and few and s["leader_lines"] < 0.3 and (s["same_cells"] > 0.75 and s["number_cells"] > 0.3 and s["cells_mean"] >= 2):
         return 2
-    if s["usual_pairs"] > 0.6 and (s["ends_stop"] > 0.5 and s["sentences"] > 0.4 or s["long_segments"] > 0.8 and s["usual_pairs"] > 0.75 and s["distinct_words"] > 0.2 or s["sentences"] > 0.5):
+    if usual > 0.85 and (s["ends_stop"] > 0.5 and s["sentences"] > 0.4 or s["long_segments"] > 0.8 and usual > 0.9 and s["distinct_words"] > 0.2 or s["sentences"] > 0.5):
         return 0
     if few and s["leader_lines"] > 0.6 or few and s["marked_lines"] > 0.7 and s["short_lines"] > 0.7:
         return 1
@@ -305,94 +328,116 @@ def holdout() -> list[dict]:
 
 
 class ProseModel:
-    """The fitted trees and the bit set of usual neighbours."""
+    """The fitted trees and the usual neighbours."""
 
-    def __init__(self, trees: BoostedTrees, usual: np.ndarray):
-        self.trees, self.usual = trees, usual
+    def __init__(self, trees: BoostedTrees, known: Neighbours):
+        self.trees, self.known = trees, known
 
     def kinds(self, bodies: list[tuple[list[str], int]]) -> tuple[np.ndarray, np.ndarray]:
         """Statistics and class probabilities of pages given by ``body_lines``."""
-        x = np.array([statistics(b, self.usual, n) for b, n in bodies], dtype=np.float64).reshape(len(bodies), len(FEATURES))
+        x = np.array([statistics(b, self.known, n) for b, n in bodies], dtype=np.float64).reshape(len(bodies), len(FEATURES))
         return x, self.trees.probabilities(x) if len(bodies) else np.zeros((0, len(KINDS)))
 
 
-def taken_apart(documents: DataFrame, samples: tuple[str, ...]) -> DataFrame:
-    """``doc_id, lang, h, s, pairs`` of every document, written once: a hash of its text, its
-    statistics without the share of usual pairs, and its pairs of words."""
-    def part(batch: pa.RecordBatch):
-        g = finder(samples)
-        for at in range(0, batch.num_rows, 1000):
-            piece = batch.slice(at, 1000)
-            seen = [measured(*body_lines(t, g)) for t in piece.column(2).to_pylist()]
-            columns = pa.array([v for v, _ in seen], type=pa.list_(pa.float64())), pa.array([p.astype(np.int32) for _, p in seen], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(3), *columns], ["doc_id", "lang", "h", "s", "pairs"])
-
-    cut = map_batches(documents.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")), part, "doc_id bigint, lang string, h bigint, s array<double>, pairs array<int>")
-    return keep_table(cut, "prose-pages")
-
-
-def with_usual(usual: np.ndarray, s: pa.Array, pairs: pa.Array) -> np.ndarray:
-    """The statistics of pages as rows, with their share of usual pairs."""
-    x = s.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).copy()
-    x[:, USUAL] = known_shares(usual, pairs.flatten().to_numpy(zero_copy_only=False), pairs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    return x
+def distinct_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of words of each text, once a text, and the text they are of."""
+    page = _Page("\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    of = np.searchsorted(ends, page.starts, side="right")
+    pairs = page.pairs()
+    inside = of[:-1] == of[1:] if len(of) else np.zeros(0, bool)
+    bits = NEIGHBOUR_BITS + 2 * WORD_BITS
+    key = (of[:-1][inside].astype(np.int64) << bits) | pairs[inside]
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    return key & ((1 << bits) - 1), key >> bits
 
 
-def usual_pairs(pages: DataFrame) -> np.ndarray:
-    """Bit set of the pairs of words that different texts have, over all documents. Where so
-    many pairs meet in the table that most places are hit by chance, more texts are asked for."""
-    slots = 1 << NEIGHBOUR_BITS
+def neighbours(documents: DataFrame) -> Neighbours:
+    """The usual neighbours of all documents' texts. Copies of one text make no pair usual:
+    the least and the greatest hash of the texts that have a pair have to differ. Each task
+    gives one table of fixed size, in chunks, and the chunks are summed on the executors."""
+    slots, words, chunk = 1 << NEIGHBOUR_BITS, 1 << WORD_BITS, 1 << CHUNK_BITS
+    size = slots + 2 * words
 
     def count(batches):
-        n, lo, hi = np.zeros(slots, np.int32), np.full(slots, np.iinfo(np.int64).max), np.full(slots, np.iinfo(np.int64).min)
-        texts: set[int] = set()
+        n, lo, hi = np.zeros(size, np.int64), np.full(slots, np.iinfo(np.int32).max, np.int32), np.full(slots, np.iinfo(np.int32).min, np.int32)
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                fresh = {h: t for h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if h not in seen}
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.update(fresh)
+                pairs, of = distinct_pairs(list(fresh.values()))
+                p = pairs >> 2 * WORD_BITS
+                h = np.fromiter(fresh, dtype=np.int64, count=len(fresh)).astype(np.int32)[of]
+                np.add.at(n, p, 1)
+                np.add.at(n, slots + (pairs >> WORD_BITS & words - 1), 1)
+                np.add.at(n, slots + words + (pairs & words - 1), 1)
+                np.minimum.at(lo, p, h)
+                np.maximum.at(hi, p, h)
+        if not n.any():
+            return
+        for c in range(size >> CHUNK_BITS):
+            at = slice(c << CHUNK_BITS, (c + 1) << CHUNK_BITS)
+            bounds = lo[at].tobytes() + hi[at].tobytes() if c < slots >> CHUNK_BITS else b""
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([n[at].tobytes() + bounds], pa.binary())], ["chunk", "data"])
+
+    def add(batches):
+        sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for h, pairs in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if h in texts:
+            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, rest = np.frombuffer(data[:8 * chunk], np.int64), np.frombuffer(data[8 * chunk:], np.int32)
+                if c not in sums:
+                    sums[c] = [n.copy(), rest[:chunk].copy(), rest[chunk:].copy()]
                     continue
-                if len(texts) > 1_000_000:
-                    texts.clear()
-                texts.add(h)
-                p = np.unique(pairs.values.to_numpy())
-                n[p] += 1
-                lo[p] = np.minimum(lo[p], h)
-                hi[p] = np.maximum(hi[p], h)
-        p = np.flatnonzero(n)
-        for at in range(0, len(p), 50_000):
-            q = p[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(n[q]), pa.array(lo[q]), pa.array(hi[q])], ["p", "n", "lo", "hi"])
-
-    counted = pages.select("h", "pairs").mapInArrow(count, "p int, n int, lo bigint, hi bigint").groupBy("p").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = counted.select("p", "n", (F.col("lo") != F.col("hi")).alias("differ")).toArrow()
-    p, n = found.column("p").to_numpy(), found.column("n").to_numpy()
-    by_chance = float(np.median(np.concatenate((n, np.zeros(slots - len(n), n.dtype)))))
-    p = p[found.column("differ").to_numpy() & (n >= max(2, by_chance + 6 * math.sqrt(by_chance)))]
-    usual = np.zeros(slots >> 3, dtype=np.uint8)
-    np.bitwise_or.at(usual, p >> 3, (1 << (p & 7)).astype(np.uint8))
-    return usual
-
-
-def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPLE_ROWS, pages: DataFrame | None = None) -> ProseModel:
-    """Fits the model on weak labels of at most ``sample_rows`` documents; the usual pairs of
-    words are those of all documents. ``pages``: the table of ``taken_apart``, if at hand."""
-    pages = taken_apart(documents, samples) if pages is None else pages
-    usual = usual_pairs(pages)
-    # The ids are drawn first, so that no text is sorted or gathered.
-    ids = pages.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id", F.lit(17)).alias("__k")).orderBy("__k", "__id").limit(sample_rows).select("__id").distinct()
-    picked = pages.join(F.broadcast(ids), pages["doc_id"] == F.col("__id"), "left_semi").where(F.col("s")[FEATURES.index("n_lines")] > 0).groupBy("h").agg(F.first("s").alias("s"), F.first("pairs").alias("pairs")).repartition(16)
+                sums[c][0] += n
+                np.minimum(sums[c][1], rest[:chunk], out=sums[c][1])
+                np.maximum(sums[c][2], rest[chunk:], out=sums[c][2])
+        for c, (n, lo, hi) in sums.items():
+            n = np.where(lo != hi, n, 0) if len(lo) else n
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], ["chunk", "data"])
+
+    ship(documents.sparkSession)
+    tables = documents.where("text is not null").select(F.xxhash64("text").alias("h"), "text").mapInArrow(count, "chunk int, data binary")
+    counts = np.zeros(size, np.float32)
+    for row in tables.repartition(16, "chunk").mapInArrow(add, "chunk int, data binary").collect():
+        counts[row["chunk"] << CHUNK_BITS:(row["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(row["data"], np.float32)
+    return Neighbours(*np.split(counts, [slots, slots + words]))
+
+
+def drawn(documents: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, lang, text`` of at most ``rows`` documents, drawn by a hash of the id and
+    written once. The ids are drawn first, so that no text is sorted or gathered."""
+    ids = documents.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id", F.lit(17)).alias("__k")).orderBy("__k", "__id").limit(rows).select("__id").distinct()
+    texts = documents.join(F.broadcast(ids), documents["doc_id"] == F.col("__id"), "left_semi").select("doc_id", "lang", "text")
+    return keep_table(texts.repartition(16), "drawn-documents")
+
+
+def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPLE_ROWS, sample: DataFrame | None = None) -> ProseModel:
+    """Fits the model on weak labels of at most ``sample_rows`` documents (or of those in
+    ``sample``, the table of ``drawn``); the usual pairs of words are those of all documents."""
+    sample = drawn(documents, sample_rows) if sample is None else sample
+    known = neighbours(documents)
+    sent = documents.sparkSession.sparkContext.broadcast(known)
 
     def describe(batch: pa.RecordBatch):
-        x = with_usual(usual, batch.column(0), batch.column(1))
-        labels = [weak_label(dict(zip(FEATURES, v))) for v in x.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.list_(pa.float64())), pa.array(labels, type=pa.int32())], ["s", "label"])
+        g = finder(samples)
+        bodies = [b for t in dict.fromkeys(batch.column(0).to_pylist()) if (b := body_lines(t, g))[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([statistics(b, sent.value, n) for b, n in bodies], type=pa.list_(pa.float64()))], ["s"])
 
-    told = map_batches(picked.select("s", "pairs"), describe, "s array<double>, label int").where("label >= 0").toArrow()
+    told = map_batches(sample.select("text"), describe, "s array<double>").toArrow()
     x = np.array(told.column("s").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
-    y = told.column("label").to_numpy().astype(np.int64)
+    plain = x[(x[:, FEATURES.index("ends_stop")] > 0.5) & (x[:, FEATURES.index("sentences")] > 0.4), USUAL]
+    level = float(np.median(plain)) if len(plain) else 1.0
+    y = np.array([weak_label(dict(zip(FEATURES, v)), level) for v in x.tolist()], dtype=np.int64)
+    x, y = x[y >= 0], y[y >= 0]
     order = np.lexsort((*x.T[::-1], y))
     x, y = x[order], y[order]
     g = finder(samples)
-    checked = [(statistics(b[0], usual, b[1]), KINDS.index(r["kind"])) for r in holdout() if (b := body_lines(r["text"], g))[0]]
+    checked = [(statistics(b[0], known, b[1]), KINDS.index(r["kind"])) for r in holdout() if (b := body_lines(r["text"], g))[0]]
     hx, hy = np.array([s for s, _ in checked]), np.array([k for _, k in checked])
     # Every second checked document calibrates; the others are fitted with the weak labels.
     extra = np.flatnonzero(np.arange(len(hy)) % 2 == 1)
@@ -401,24 +446,24 @@ def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPL
     weights = np.sqrt(len(y) / (len(KINDS) * each))[y]
     trees = BoostedTrees(len(KINDS)).fit(x, y, weights)
     own = np.arange(len(hy)) % 2 == 0
-    return ProseModel(trees.calibrate(hx[own], hy[own]), usual)
+    return ProseModel(trees.calibrate(hx[own], hy[own]), known)
 
 
 def text_statistics(documents: DataFrame, lang_samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: ``doc_id, lang``, the statistics, ``kind, confidence``."""
     samples = read_samples(lang_samples)
-    pages = taken_apart(documents, samples)
-    model = fit(documents, samples, sample_rows, pages)
+    model = fit(documents, samples, sample_rows)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     shown = ("n_chars", "n_lines", "n_words", "mean_word", "symbol_ratio", "digit_ratio", "ends_stop", "common_words", "usual_pairs", "distinct_words", "marked_lines", "cell_lines")
     exact = {"n_chars", "n_lines", "n_words"}
 
     def describe(batch: pa.RecordBatch):
+        g = finder(samples)
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            x = with_usual(sent.value.usual, part.column(2), part.column(3))
-            p = sent.value.trees.probabilities(x)
-            full = x[:, FEATURES.index("n_lines")] > 0
+            bodies = [body_lines(t, g) for t in part.column(2).to_pylist()]
+            x, p = sent.value.kinds(bodies)
+            full = np.array([bool(b) for b, _ in bodies])
             columns = []
             for name in shown:
                 v = x[:, FEATURES.index(name)]
@@ -429,7 +474,7 @@ def text_statistics(documents: DataFrame, lang_samples: DataFrame, sample_rows:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, pa.array(kind, type=pa.string()), pa.array(sure, type=pa.float64())], ["doc_id", "lang", *shown, "kind", "confidence"])
 
     schema = "doc_id bigint, lang string, " + ", ".join(f"{n} {'bigint' if n in exact else 'double'}" for n in shown) + ", kind string, confidence double"
-    return map_batches(pages.select("doc_id", "lang", "s", "pairs"), describe, schema)
+    return map_batches(documents.select("doc_id", "lang", "text"), describe, schema)
 
 
 def not_prose(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
