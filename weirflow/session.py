@@ -1,14 +1,15 @@
-"""Session helpers: checkpoint folder, exact partition counts, size-checked broadcast."""
+"""Session helpers: the shared folder, lineage cuts, and the package on the workers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -38,11 +39,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint when its counted ``rows`` are within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once per application.
 
@@ -69,3 +65,25 @@ def keep_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_shared(df: DataFrame, name: str, by: str) -> str:
+    """Writes ``df`` as Parquet in the shared checkpoint folder, a subfolder for each value of
+    the column ``by``, for tasks that read one part at a time; the folder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).option("compression", "zstd").parquet(path)
+    return path
+
+
+def read_shared(path: str, columns: list[str]) -> pa.Table:
+    """The Parquet files of a subfolder that ``write_shared`` made, read in a task. A value
+    without rows has no subfolder and gives an empty table."""
+    from pyarrow import fs, parquet
+
+    if not re.match(r"[a-z][a-z0-9+.-]*:", path):
+        path = f"file://{path}"
+    store, inner = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if f.path.endswith(".parquet"))
+    tables = [parquet.read_table(f, columns=columns, filesystem=store, partitioning=None) for f in files]
+    return pa.concat_tables(tables) if tables else pa.table({c: pa.array([], pa.null()) for c in columns})
