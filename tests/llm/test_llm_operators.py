@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -209,6 +210,43 @@ def test_body_keeps_lines_as_they_are(spark, odd, samples):
     assert page_body.furniture_lines(odd.limit(0), samples).count() == 0
 
 
+def lists_emptied(monkeypatch):
+    never = re.compile("(?!)")
+    for name, value in (("_NAMES", frozenset()), ("_HEAD", never), ("_CUE", never), ("_PHRASES", ()), ("_MAIL", never)):
+        monkeypatch.setattr(page_body, name, value)
+    page_body._listed_leaf.cache_clear()
+    page_body._counted_leaf.cache_clear()
+
+
+def test_furniture_by_repetition_alone(spark, finder, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    known = page_body.repeated_lines(docs)
+    texts = [r["text"] for r in docs.where("doc_id % 9 = 0").select("text").collect()]
+    lines = lambda k: {(i, no) for i, t in enumerate(texts) for no, b in enumerate(page_body.page_furniture(t, finder, k)) if b}
+    planted, both = lines(None), lines(known)
+    assert len(planted) > 3000 and len(planted & both) >= 0.99 * max(len(planted), len(both))
+    lists_emptied(monkeypatch)
+    alone = lines(known)
+    assert len(planted & alone) >= 0.8 * len(planted) and len(planted & alone) >= 0.9 * len(alone)
+    page_body._listed_leaf.cache_clear()
+    page_body._counted_leaf.cache_clear()
+
+
+def test_the_score_decides_against_the_block():
+    long = "Follow us into the valley, where the river turns; there the old mill stands, and beside it the well. " * 5
+    lines = ["Follow us", long, "Related articles", "- the tide", "- " + "The tide came late, and nobody was ready for it, said the keeper; she had seen it before. " * 6]
+    own = page_body.paths(lines)
+    assert own[1][0] == "notice" and page_body.furniture([long]) == [False] and page_body.furniture(["Follow us"]) == [True]
+    menu = " | ".join(["Home", "Library", "Search", "Help", "Courses", "Topics", "Archive", "Contact", "Gallery", "News"] * 3)
+    assert len(menu) > 180 and page_body.furniture([menu, "The old mill measured the river."]) == [True, False]
+
+
+def test_copies_of_a_page_repeat_nothing(spark):
+    rows = [(i, "The narrow lane\nA quiet town by the sea, which few people know.") for i in range(300)] + [(1000 + i, f"Lantern shop\nStory {chr(97 + i % 26) * (i // 26 + 1)} ended well.") for i in range(300)]
+    known = page_body.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2))
+    assert known("Lantern shop") and not known("The narrow lane")
+
+
 # --- 1: statistics
 
 
@@ -376,8 +414,8 @@ def test_cuts_give_the_passages_that_are_needed():
 def test_shards_are_read_one_by_one(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/split_docs.parquet")
     whole = {tuple(r) for r in split_overlap.found_pairs(df).collect()}
-    monkeypatch.setattr(split_overlap, "GROUP_WORDS", 500)
-    monkeypatch.setattr(split_overlap, "SHARD_GROUPS", 2)
+    monkeypatch.setattr(split_overlap, "SHARD_WORDS", 500)
+    monkeypatch.setattr(split_overlap, "TEXTS", 30)
     assert {tuple(r) for r in split_overlap.found_pairs(df).collect()} == whole and whole
 
 

@@ -170,6 +170,18 @@ def _suspects():
     )
 
 
+@lru_cache(maxsize=1)
+def _openings():
+    """Pattern of the characters one of which every match of ``_suspects`` holds."""
+    odd = "".join(re.escape(c) for c in sorted(set(rare_readings()) | set("锟拷")))
+    return re.compile(f"[{odd}\x80-\x84\x86-\x9f\ue000-\uf8ff�─-╬▀-▟｡-ﾟÂ-ô¡-ÿŒœŠšŸŽžƒˆ˜–-…‰‹›€™ÐÑРСЂ-Џђ-џҐґΓ√‚¬À-Þ°-¿¨÷‗ýþα-ω≈-≥А-Я]")
+
+
+def suspect(text: str) -> bool:
+    """Whether a text holds anything without which it cannot be garbled."""
+    return not text.isascii() and _openings().search(text) is not None and _suspects().search(text) is not None
+
+
 @lru_cache(maxsize=1)
 def _rare():
     return re.compile("[" + "".join(re.escape(c) for c in sorted(rare_readings())) + "\ue000-\uf8ff]")
@@ -244,7 +256,7 @@ class Garbled:
 
     def spans(self, text: str) -> list[tuple[int, int, str | None, str, str]]:
         """Garbled spans of one line: start, end, restored text (None: lost), right, wrong."""
-        if not _suspects().search(text):
+        if not suspect(text):
             return []
         out = [(m.start(), m.end(), None, "lost", "lost") for m in _LOST.finditer(text)]
         taken = bytearray(len(text))
@@ -455,12 +467,11 @@ def garbled_lines(documents: DataFrame, lang_samples: DataFrame, keep_text: bool
 
     def find(batch: pa.RecordBatch):
         g = finder(samples)
-        suspects = _suspects()
         rows = []
         texts = batch.column(1)
         for i in range(batch.num_rows):
             text = texts[i].as_py()
-            if not text or not suspects.search(text):
+            if not text or text.isascii():
                 continue
             for no, line in enumerate(text.split("\n")):
                 if keep_text:

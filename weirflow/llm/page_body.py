@@ -2,15 +2,23 @@
 
 Method: tag-path ratios. A page that has lost its markup still shows its structure: each
 line is given a path from the root to a leaf, ``block/leaf``, from separators, bullets, the
-heading a run of lines stands under and the wording of the line (``bar`` for menus,
-``crumb``, ``notice``, ``links`` for what stands under a heading such as "related articles",
-``main`` for the rest; leaves are ``sentence``, ``short``, a bullet, a row). Text length and
-sentence punctuation are aggregated per path over the page, fused into one score with the
-weight of the block, smoothed along each run of lines of one block, and lines whose score
-stays below a threshold are furniture. Garbled lines are read as restored by problem 9's
-operator; lines that are lost are judged by their shape and place.
+heading a run of lines stands under, and what the line or its cells repeat (``bar`` for
+menus, ``crumb``, ``notice``, ``links`` for what stands under a heading such as "related
+articles", ``main`` for the rest; leaves are ``sentence``, ``short``, a bullet, a row). Text
+length, sentence punctuation and repetition are aggregated per path over the page, fused
+into one score with the block's weight, smoothed along each run of lines of one block, and
+lines whose score stays below a threshold are furniture: long punctuated text is kept even
+in a furniture block.
 
-Each page is judged by itself, so the operator is one narrow pass without any shuffle.
+What a site repeats is counted over all pages (``repeated_lines``): a line or a menu's cell,
+with its numbers and addresses left out, is repeated if a fixed share of the pages have it,
+and if it is not a sentence that texts use within paragraphs as well. The lists of names,
+headings and phrases below are a second sign beside that count, and the only one where no
+counts are at hand (problems 1 and 3 read bodies without them). Garbled lines are read as
+restored by problem 9's operator; lines that are lost are judged by their shape and place.
+
+The count is one pass that leaves a table of fixed size; judging is one narrow pass without
+any shuffle.
 
 Defined results: null, empty and blank texts have no furniture; blank lines are never
 furniture; lines are those between U+000A, counted from 0, a carriage return before it does
@@ -22,13 +30,16 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weirflow.llm.arrow import map_batches
-from weirflow.llm.garbled import Garbled, _suspects, finder, read_samples
+from weirflow.llm.arrow import map_batches, summed
+from weirflow.llm.garbled import Garbled, finder, read_samples
 
 #: Names of menu entries, by language.
 MENU = {
@@ -68,32 +79,126 @@ MORE = r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*(?:Read more|阅读全文|閱讀全
 
 _CUE = re.compile("(?:" + "|".join(NOTICES) + ")")
 _HEAD = re.compile("(?:" + LINK_HEADS + r")\s*[:：]?$")
-_ANYWHERE = re.compile("未经许可不得转载|联系邮箱|All rights reserved|Alle rechten voorbehouden|Tous droits réservés|Alle Rechte vorbehalten|Todos os direitos|Todos los derechos|Tutti i diritti|Все права защищены|無断転載を禁じます|[\\w.-]+@[\\w.-]+\\.[a-z]{2,8}$")
+_MAIL = re.compile("[\\w.-]+@[\\w.-]+\\.[a-z]{2,8}$")
 _MORE = re.compile(MORE)
 _NAMES = frozenset(n for v in MENU.values() for n in v.split("|"))
+_PHRASES = ("未经许可不得转载", "联系邮箱", "All rights reserved", "Alle rechten voorbehouden", "Tous droits réservés", "Alle Rechte vorbehalten", "Todos os direitos", "Todos los derechos", "Tutti i diritti", "Все права защищены", "無断転載を禁じます")
 _SEP = re.compile(r"\s*(?:\t|\s\|\s|\s[·•]\s|\s[>/»›]\s| {2,}|　)\s*")
 _CRUMB = re.compile(r"\s[>/»›▸→]\s")
 _BULLET = re.compile(r"(?:([-•*»→›▸·–‣◦■□▪])\s+|(\(?\d{1,3}[.)）、]|[①-⑳]|[(（]?[a-zA-Z][.)])\s*)")
 _ENDS = re.compile("[.!?。！？…,，;；、](?:[”\"』」»)）’]*|\\s*[»”])\\s*$")
 _STOPS = re.compile("[.!?,;。！？，；、]")
 _LOST = re.compile("[�锟斤拷]")
-BLOCK_WEIGHT = {"main": 1.0, "links": 0.08, "bar": 0.05, "crumb": 0.05, "notice": 0.03, "lost": 0.08}
+BLOCK_WEIGHT = {"main": 1.0, "links": 0.1, "bar": 0.1, "crumb": 0.1, "notice": 0.09, "lost": 0.1}
 THRESHOLD = 1.3
+TABLE_BITS = 21
+REPEATED_SHARE, REPEATED_SHORT, REPEATED_PAGES, OUTSIDE = 6e-4, 2e-3, 5, 4
+_LETTERS = re.compile(r"[^\W\d_]{2}")
+_WORDED = re.compile(r"[^\W\d_]{4}|[^\W\d_]{2}.*[^\W\d_]{2}")
+_NUMBER = re.compile(r"\d+")
+_ADDRESS = re.compile(r"[\w-]*(?:\.[\w-]+)+")
+_EDGE = "-•*»→›▸·«←>| \t"
+_CLAUSE = re.compile("[.!?…,;:][”\"』」»)）’]*\\s|[。！？，；：、]+[”\"』」»)）’]*\\s*")
+
+
+def templates(line: str, clause: bool = False) -> list[str]:
+    """What a line repeats: the line without its numbers, addresses and marks; of a
+    single closed clause, and of any clause of a paragraph, also how it begins and ends."""
+    t = _NUMBER.sub("0", line.strip(_EDGE))
+    if "." in t:
+        t = _ADDRESS.sub("@", t)
+    if len(t) < 2 or not _LETTERS.search(t):
+        return []
+    if not clause and (not _ENDS.search(t) or _CLAUSE.search(t[:-1])):
+        return [t]
+    w = t.split(" ")
+    if len(w) > 2:
+        ends = ["^" + " ".join(w[:4]), "$" + " ".join(w[-4:])] if clause or len(w) >= 7 else []
+    else:
+        ends = ["^" + t[:7], "$" + t[-7:]] if clause or len(t) >= 14 else []
+    return [t, *(x for x in ends if _WORDED.search(x))]
+
+
+def _slots(texts: list[str]) -> list[int]:
+    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) & (1 << TABLE_BITS) - 1 for t in texts]
+
+
+def counted(text: str) -> tuple[set[int], set[int]]:
+    """Places in the table of what a page has as lines or cells, and within paragraphs."""
+    lines, inside = [], []
+    for x in text.split("\n"):
+        x = x.strip()
+        if not x:
+            continue
+        lines += templates(x)
+        parts = _SEP.split(x)
+        if len(parts) > 2:
+            lines += [t for part in parts for t in templates(part)]
+        elif len(x) > 30:
+            at, told = 0, []
+            for m in _CLAUSE.finditer(x):
+                told.append(x[at:m.end()].strip())
+                at = m.end()
+            if len(told) > 1 or told and at < len(x):
+                inside += [t for part in (*told, x[at:]) if part for t in templates(part, True)]
+    return set(_slots(lines)), set(_slots(inside))
+
+
+class Repeated:
+    """In how many pages a line is repeated, as a line and within paragraphs."""
+
+    def __init__(self, lines: np.ndarray, inside: np.ndarray, pages: float):
+        # What so many different lines meet in one place by chance is no repetition.
+        least = max(REPEATED_PAGES, 3 * float(np.median(lines)))
+        alone = lines >= OUTSIDE * inside
+        self.long, self.short = (np.packbits(alone & (lines >= max(least, share * pages))) for share in (REPEATED_SHARE, REPEATED_SHORT))
+
+    def __call__(self, line: str) -> bool:
+        told = templates(line)
+        bits = self.long if _ENDS.search(line) else self.short
+        return any(bits[i >> 3] >> (7 - (i & 7)) & 1 for i in _slots(told))
+
+
+def repeated_lines(documents: DataFrame) -> Repeated:
+    """What the lines of all pages repeat. Copies of a page count once a task."""
+    size = 1 << TABLE_BITS
+
+    def count(batches) -> np.ndarray:
+        n = np.zeros(2 * size + 1, np.int64)
+        seen: set[int] = set()
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if h in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(h)
+                lines, inside = counted(text)
+                n[list(lines)] += 1
+                n[np.fromiter(inside, np.int64, len(inside)) + size] += 1
+                n[-1] += 1
+        return n
+
+    n = summed(documents.where("text is not null").select(F.xxhash64("text").alias("h"), "text"), count, 2 * size + 1)
+    return Repeated(n[:size], n[size:-1], float(n[-1]))
+
+
+def leaf(line: str, known: Repeated | None = None) -> tuple[str, str]:
+    """Block and leaf of a stripped line by itself; the blocks ``head`` and ``single`` may
+    open ``links``."""
+    return _listed_leaf(line) if known is None else _counted_leaf(line, known)
 
 
 @lru_cache(maxsize=50_000)
-def leaf(line: str) -> tuple[str, str]:
-    """Block and leaf of a stripped line by itself; the block ``head`` opens ``links``."""
-    if len(line) > 180:
-        return ("links", "teaser") if _MORE.search(line) else ("main", "sentence")
+def _listed_leaf(line: str) -> tuple[str, str]:
     bare = line.lstrip("-•*»→›▸· ")
     if bare in _NAMES:
         return "bar", "entry"
-    if _HEAD.match(bare):
+    if len(bare) < 60 and _HEAD.match(bare):
         return "head", "head"
-    if _CUE.match(bare) or _ANYWHERE.search(bare) and len(bare) < 120:
+    if _CUE.match(bare) or any(p in bare for p in _PHRASES) or "@" in bare and _MAIL.search(bare):
         return "notice", "notice"
-    if _MORE.search(line):
+    if ("…" in line or "..." in line) and _MORE.search(line):
         return "links", "teaser"
     parts = _SEP.split(line)
     if len(parts) > 1:
@@ -110,11 +215,35 @@ def leaf(line: str) -> tuple[str, str]:
     return "main", "short"
 
 
-def paths(lines: list[str]) -> list[tuple[str, str] | None]:
+@lru_cache(maxsize=50_000)
+def _counted_leaf(line: str, known: Repeated) -> tuple[str, str]:
+    own = _listed_leaf(line)
+    if own[0] != "main":
+        return own
+    parts = _SEP.split(line)
+    if len(parts) > 1:
+        named = sum(p in _NAMES or known(p) for p in parts)
+        if len(parts) > 2 and named >= 0.6 * len(parts):
+            return "bar", "menu"
+        if named and len(parts) <= 5 and _CRUMB.search(line) and (parts[0] in _NAMES or known(parts[0])):
+            return "crumb", "crumb"
+    if not known(line):
+        return own
+    return ("single", "short") if len(line) <= 30 and not _ENDS.search(line) else ("notice", "notice")
+
+
+def paths(lines: list[str], known: Repeated | None = None) -> list[tuple[str, str] | None]:
     """Block and leaf of each line in its place; None for blank lines."""
-    own = [leaf(x) if x else None for x in lines]
+    own = [leaf(x, known) if x else None for x in lines]
     spaced = sum(a is None for a in own) >= 0.4 * max(1, len(own) - 1)
     filled = [i for i, p in enumerate(own) if p]
+    if known is not None:
+        # A repeated short line opens links where one more kind of short lines follows it;
+        # beside other furniture it is a menu's entry.
+        for i, j in zip(filled, [*filled[1:], None]):
+            if own[i][0] == "single":
+                opens = j is not None and own[j][0] == "main" and own[j][1] != "sentence"
+                own[i] = ("head", "head") if opens else ("bar", "entry")
     after = {i: own[j] for i, j in zip(filled, filled[1:])}
     at = 0
     while at < len(filled):
@@ -127,7 +256,7 @@ def paths(lines: list[str]) -> list[tuple[str, str] | None]:
         while at < len(filled):
             j = filled[at]
             block, shape = own[j]
-            if block == "head" or block in ("bar", "notice", "crumb"):
+            if block in ("head", "bar", "notice", "crumb"):
                 break
             gap = j - last > 1
             if gap and not spaced and (kind is not None or shape in ("short", "sentence")):
@@ -146,8 +275,8 @@ def paths(lines: list[str]) -> list[tuple[str, str] | None]:
 
 
 def scores(lines: list[str], own: list[tuple[str, str] | None]) -> list[float | None]:
-    """Score of each line: text length and punctuation per path of the page, fused and
-    smoothed along the runs of one block."""
+    """Score of each line: text length and punctuation per path of the page, fused with the
+    weight of the block and smoothed along the runs of one block."""
     size: dict[tuple[str, str], list[float]] = {}
     for x, p in zip(lines, own):
         if p:
@@ -188,9 +317,9 @@ def _lost_lines(lines: list[str], own: list[tuple[str, str] | None]) -> None:
             own[i] = ("lost", "menu")
 
 
-def furniture(lines: list[str]) -> list[bool]:
+def furniture(lines: list[str], known: Repeated | None = None) -> list[bool]:
     """Which of the (restored, stripped) lines of one page are furniture."""
-    own = paths(lines)
+    own = paths(lines, known)
     _lost_lines(lines, own)
     return [s is not None and s < THRESHOLD for s in scores(lines, own)]
 
@@ -199,32 +328,33 @@ def page_lines(text: str, g: Garbled) -> tuple[list[str], list[bool]]:
     """The page's lines, restored and stripped, and which of them were garbled."""
     lines = [x.strip() for x in text.split("\n")]
     hit = [False] * len(lines)
-    if _suspects().search(text):
+    if not text.isascii():
         for i, x in enumerate(lines):
-            if x:
+            if x and not x.isascii():
                 fixed, bad, _ = g.restore(x)
                 if bad:
                     lines[i], hit[i] = fixed.strip(), True
     return lines, hit
 
 
-def page_furniture(text: str | None, g: Garbled) -> list[bool]:
+def page_furniture(text: str | None, g: Garbled, known: Repeated | None = None) -> list[bool]:
     """Which lines of a page's text are furniture."""
     if not text or not text.strip():
         return []
-    return furniture(page_lines(text, g)[0])
+    return furniture(page_lines(text, g)[0], known)
 
 
 def furniture_lines(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """``doc_id, line_no`` of the furniture of each page."""
     samples = read_samples(lang_samples)
+    sent = documents.sparkSession.sparkContext.broadcast(repeated_lines(documents))
 
     def find(batch: pa.RecordBatch):
-        g = finder(samples)
+        g, known = finder(samples), sent.value
         ids, numbers = [], []
         keys = batch.column(0).to_pylist()
         for key, text in zip(keys, batch.column(1)):
-            for no, bad in enumerate(page_furniture(text.as_py(), g)):
+            for no, bad in enumerate(page_furniture(text.as_py(), g, known)):
                 if bad:
                     ids.append(key)
                     numbers.append(no)
@@ -237,9 +367,10 @@ def main_body(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """``doc_id, body, lines_kept, lines_dropped``: each page without its furniture; the kept
     lines are as they were. Null texts give a null body."""
     samples = read_samples(lang_samples)
+    sent = documents.sparkSession.sparkContext.broadcast(repeated_lines(documents))
 
     def strip(batch: pa.RecordBatch):
-        g = finder(samples)
+        g, known = finder(samples), sent.value
         bodies, kept, dropped = [], [], []
         for text in batch.column(1):
             t = text.as_py()
@@ -248,7 +379,7 @@ def main_body(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
                 kept.append(0)
                 dropped.append(0)
                 continue
-            bad = page_furniture(t, g)
+            bad = page_furniture(t, g, known)
             lines = t.split("\n")
             body = [x for x, b in zip(lines, bad) if not b] if bad else lines
             bodies.append("\n".join(body))
