@@ -3,11 +3,14 @@
 import hashlib
 import itertools
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from weirflow.config import CorpusConfig
+from weirflow.functions import quality as Q
+from weirflow.functions import text as T
 from weirflow.operators import acquire, dedup, metrics, order, sample, tokens, vector
 from weirflow.plans.pipeline import Pipeline
 
@@ -84,10 +87,67 @@ def test_tokens_of_the_whole_text(spark, tmp_path):
 @pytest.mark.parametrize("n", [0, 5, 6, 11, 12, 13])
 def test_windows_and_pairs(spark, n):
     ids = list(range(n))
-    df = spark.createDataFrame([(1, ids[:4]), (2, None), (3, ids[4:])], "doc_id bigint, token_ids array<int>")
-    flat = tokens.stream(df, ["doc_id"], F.col("doc_id"))
-    got = sorted(tokens.next_token_pairs(tokens.windows(flat, 5)).collect(), key=lambda r: r["sample"])
-    assert [(list(r["x"]), list(r["y"])) for r in got] == [(ids[i:i + 5], ids[i + 1:i + 6]) for i in range(0, n // 6 * 6, 6)]
+    df = spark.createDataFrame([(1, ids[:4]), (2, None), (3, ids[4:]), (3, ids[4:])], "doc_id bigint, token_ids array<int>")
+    for bucket in (F.col("doc_id"), F.lit(0)):
+        got = sorted(tokens.next_token_pairs(tokens.windows(df, ["doc_id"], bucket, 5)).collect(), key=lambda r: r["sample"])
+        assert [(list(r["x"]), list(r["y"])) for r in got] == [(ids[i:i + 5], ids[i + 1:i + 6]) for i in range(0, n // 6 * 6, 6)]
+        assert [r["token"] for r in tokens.stream(df, ["doc_id"], bucket).orderBy("gpos").collect()] == ids
+
+
+def test_windows_over_many_buckets_and_keys(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), [rng.randrange(50) for _ in range(rng.choice([0, 1, 3, 40]))]) for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:30], "doc_id bigint, split string, token_ids array<int>")
+    got = {(r["split"], r["sample"]): list(r["ids"]) for r in tokens.windows(df, ["doc_id"], F.floor(F.col("doc_id") / 7), 8, keys=["split"]).collect()}
+    want = {}
+    for k in ("a", "b", None):
+        flat = [x for _, s, ids in rows if s == k for x in ids]
+        want |= {(k, i): flat[9 * i:9 * i + 9] for i in range(len(flat) // 9)}
+    assert got == want
+
+
+def test_pooling_of_great_scores_and_overlap(spark):
+    df = spark.createDataFrame([(i, float(i), 1000.0 + i) for i in range(6)], "pos bigint, v double, s double")
+    got = {r["block"]: (r["pooled"], r["n"]) for r in tokens.pool_blocks(df, [], "pos", "v", "s", 3).collect()}
+    assert set(got) == {0, 1} and abs(got[1][0] - 4.575) < 0.01 and got[1][1] == 3
+    both = {r["block"]: (r["pooled"], r["n"]) for r in tokens.pool_blocks(df, [], "pos", "v", "s", 3, overlap=True).collect()}
+    assert both[0][1] == 3 and both[1][1] == 6 and abs(both[1][0] - 4.433) < 0.01
+
+
+def test_cleaning_runs_once_a_row(spark):
+    df = spark.createDataFrame([(1, "<p>a long enough text &amp; more</p>"), (2, " "), (3, None)], "i int, text string")
+    out = T.once(df, "text", T.clean_all(F.col("text"))).where(Q.not_blank(F.col("text")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and [r["text"] for r in out.collect()] == ["a long enough text & more"]
+
+
+def test_class_of_uncomposed_characters():
+    import regex
+
+    told = regex.compile(regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U" + m.group(1).zfill(8), T.UNCOMPOSED))
+    for i in range(0x110000):
+        if not 0xD800 <= i < 0xE000 and not unicodedata.is_normalized("NFC", "a" + chr(i)):
+            assert told.search(chr(i)), hex(i)
+
+
+def test_near_duplicates_above_nine_tenths_keep_the_first(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        w = [rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(9)) for _ in range(60)]
+        rows.append((3 * i, " ".join(w)))
+        for k in (1, 2):
+            v = list(w)
+            if rng.random() < 0.7:
+                v[rng.randrange(60)] = f"x{k}"
+            rows.append((3 * i + k, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = {i: {" ".join(sorted(set(t.split(" ")[j:j + 5]))) for j in range(len(t.split(" ")) - 4)} for i, t in rows}
+    kept = []
+    for i, _ in rows:
+        if not any(len(cut[i] & cut[j]) / len(cut[i] | cut[j]) > 0.9 for j in kept):
+            kept.append(i)
+    assert sorted(r["id"] for r in dedup.near_dedup_first(df, "doc_id", "text", 0.9).where("kept").collect()) == kept
 
 
 def test_acquire(spark):

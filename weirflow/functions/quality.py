@@ -30,18 +30,37 @@ def line_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit("\n")) + 1
 
 
+def counts(c: Column) -> Column:
+    """What the filters look at, counted once a text: a struct. Bound by ``once`` (or a lambda)
+    it serves any number of predicates."""
+    count = lambda p: F.regexp_count(c, F.lit(p))
+    return F.struct(
+        F.length(c).alias("n"), count(CHINESE).alias("zh"), count(ENGLISH).alias("en"), count(PUNCT).alias("punct"), count(DIGIT).alias("digit"),
+        count(UNPRINTABLE).alias("unprintable"), line_count(c).alias("lines"), distinct_chars(c).alias("distinct"))
+
+
+def garbage_of(k: Column) -> Column:
+    """``is_garbage`` over the struct of ``counts``."""
+    n = F.greatest(k["n"], F.lit(1))
+    return (k["n"] < 10) | (1 - k["unprintable"] / n < 0.8) | ((k["lines"] > 100) & (n / k["lines"] < 20)) | (k["distinct"] < 10)
+
+
+def keeps_of(k: Column, lang: str, least: float | None = None) -> Column:
+    """``keeps`` over the struct of ``counts``."""
+    name, bound = ("zh", 0.3) if lang == "chinese" else ("en", 0.5)
+    n = F.greatest(k["n"], F.lit(1))
+    ok = (k[name] / n >= (bound if least is None else least)) & (k["punct"] / n <= 0.5) & (k["digit"] / n <= 0.5) & ~garbage_of(k)
+    return F.coalesce((k["n"] > 0) & ok, F.lit(False))
+
+
 def is_garbage(c: Column) -> Column:
     """Too short, too little that prints, many short lines, or hardly any different character."""
-    n = F.length(c)
-    printable = 1 - share(c, UNPRINTABLE)
-    return (n < 10) | (printable < 0.8) | ((line_count(c) > 100) & (n / line_count(c) < 20)) | (distinct_chars(c) < 10)
+    return F.element_at(F.transform(F.array(counts(c)), garbage_of), 1)
 
 
 def keeps(c: Column, lang: str, least: float | None = None) -> Column:
     """Whether a text passes the filter of ``chinese`` or ``english``. Null does not."""
-    pattern, bound = (CHINESE, 0.3) if lang == "chinese" else (ENGLISH, 0.5)
-    ok = (share(c, pattern) >= (bound if least is None else least)) & (share(c, PUNCT) <= 0.5) & (share(c, DIGIT) <= 0.5) & ~is_garbage(c)
-    return F.coalesce(ok & (F.length(c) > 0), F.lit(False))
+    return F.element_at(F.transform(F.array(counts(c)), lambda k: keeps_of(k, lang, least)), 1)
 
 
 def is_valid(c: Column, least: int = 100, most: int = 100_000) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space as the inside of a character class.
@@ -71,18 +71,30 @@ def clean_urls(c: Column) -> Column:
     return collapse_space(remove_ads(rest))
 
 
+#: A class that holds every character that composition can change.
+UNCOMPOSED = (r"[\p{M}\x{0340}-\x{0387}\x{0958}-\x{0fff}\x{1100}-\x{11ff}\x{1b00}-\x{1bff}\x{1f00}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}"
+              r"\x{f900}-\x{faff}\x{fb1d}-\x{fb4f}\x{105d0}-\x{10600}\x{11000}-\x{16fff}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]")
+
+
 def nfc(c: Column) -> Column:
-    """Canonical composition. Spark has no such function: one Arrow UDF, whose cost is that
-    of a copy for ASCII text."""
+    """Canonical composition. Spark has no such function: an Arrow UDF, which gets only the
+    texts that hold a character composition can change and null for the others."""
     import pandas as pd
 
     def compose(s):
         import unicodedata
 
-        return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
     compose.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(compose, "string")(c)
+    return F.coalesce(F.pandas_udf(compose, "string")(F.when(F.regexp_like(c, F.lit(UNCOMPOSED)), c)), c)
+
+
+def once(df: DataFrame, column: str, c: Column) -> DataFrame:
+    """``df`` with ``column``, computed once a row however often it is used later: a filter on
+    it stays behind the generator and does not repeat the expression below."""
+    rest = [x for x in df.columns if x != column]
+    return df.select(*rest, F.explode(F.array(c)).alias(column))
 
 
 def remove_controls(c: Column) -> Column:

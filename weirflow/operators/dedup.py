@@ -107,6 +107,17 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float = 0.
         "id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("id") == F.coalesce("component", "rep")).alias("kept"))
 
 
+def near_dedup_first(df: DataFrame, id_col: str, text: str, threshold: float = 0.9, size: int = 5) -> DataFrame:
+    """``id, kept``: documents in the order of their ids, each dropped if its similarity to a
+    kept one before it is above ``threshold`` (not equal to it). Copies of a text follow its
+    first one; texts too short for a run of words are never like another but their copies."""
+    pairs = cut_lineage(near_pairs(df, id_col, text, threshold, size).where(F.col("similarity") > threshold).select("a", "b"))
+    docs = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), dedup_key(F.col(text)).alias("h"))
+    reps = docs.groupBy("h").agg(F.min("id").alias("id"))
+    kept = greedy_kept(pairs, reps).where("kept").select(F.col("id").alias("__id"))
+    return docs.select("id").join(kept, F.col("id") == F.col("__id"), "left").select("id", F.col("__id").isNotNull().alias("kept"))
+
+
 def greedy_kept(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """Order-dependent keeping: an id is dropped if it is linked to a smaller kept id. Settled
     in rounds: an id is decided once all its smaller neighbours are."""

@@ -79,7 +79,8 @@ def batches(df: DataFrame, size: int, drop_last: bool = True, place: str = "plac
 
 def gumbel_pick(df: DataFrame, keys: list[str], id_col: str, logit: str, temperature: float = 0.6, seed: int = 42) -> DataFrame:
     """One id per key drawn in proportion to softmax(logit / temperature): the greatest
-    probability by exponential noise. The noise is a hash of seed and id."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    probability by exponential noise. The noise is the md5 of seed, keys and id."""
+    told = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col(id_col).cast("string")))
+    u = (F.conv(F.substring(told, 1, 12), 16, 10).cast("bigint") + 0.5) / float(1 << 48)
     score = F.col(logit) / max(temperature, 1e-5) - F.log(-F.log(u))
     return df.groupBy(*keys).agg(F.max_by(id_col, score).alias(id_col))

@@ -29,7 +29,7 @@ def nearest(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int,
     def unit(df: DataFrame, name: str) -> DataFrame:
         return cut_lineage(df.select(F.col(key).alias(name), vector).withColumn("norm", F.greatest(l2_norm(F.col(vector)), F.lit(1e-12)))).select(name, F.transform(vector, lambda x: x.cast("double")).alias(f"{name}_v"), F.col("norm").alias(f"{name}_n"))
 
-    q, rows = cut_lineage(unit(queries, "q")), cut_lineage(unit(table, "id"))
+    q, rows = unit(queries, "q"), unit(table, "id")
     n = max(1, -(-q.count() // block))
     blocks = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("q", "q_v", "q_n")).alias("qs"))
     met = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(blocks, "block").select("id", "id_v", "id_n", F.explode("qs").alias("x")).where(F.col("x.q") != F.col("id"))

@@ -9,21 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.config import CorpusConfig
-from weirflow.functions.quality import keeps, not_blank
-from weirflow.functions.text import clean_all, estimate_tokens
+from weirflow.functions.quality import counts, keeps_of, not_blank
+from weirflow.functions.text import clean_all, estimate_tokens, once
 from weirflow.operators.acquire import acquire_chinese, acquire_english
 from weirflow.operators.dedup import exact_dedup, near_duplicates
 from weirflow.operators.order import hash_bucket, id_bucket
 from weirflow.operators.sample import budget_take, exact_split, interleave
-from weirflow.operators.tokens import mock_encode, stream, tokenize, windows
+from weirflow.operators.tokens import mock_encode, parts, tokenize, windows
+from weirflow.sources import tokenbin
 from weirflow.sources.manifest import Manifest
 
 
 def clean(docs: DataFrame, config: CorpusConfig) -> DataFrame:
     """Cleaned documents that are not blank; with ``quality_filter`` only good ones."""
-    out = docs.withColumn("text", clean_all(F.col("text"), config.min_text_length, config.max_text_length)).where(not_blank(F.col("text"))).withColumn("source", F.coalesce("source", F.lit("unknown")))
+    out = once(docs, "text", clean_all(F.col("text"), config.min_text_length, config.max_text_length)).where(not_blank(F.col("text"))).withColumn("source", F.coalesce("source", F.lit("unknown")))
     if config.quality_filter:
-        out = out.where(F.when(F.col("lang") == "chinese", keeps(F.col("text"), "chinese")).otherwise(keeps(F.col("text"), "english")))
+        k = F.col("__k")
+        out = once(out, "__k", counts(F.col("text"))).where(F.when(F.col("lang") == "chinese", keeps_of(k, "chinese")).otherwise(keeps_of(k, "english"))).drop("__k")
     return out
 
 
@@ -62,8 +64,18 @@ class Pipeline:
         if stage == 5:
             data = before.withColumn("uid", F.concat_ws("-", "lang", F.col("row_no").cast("string")))
             return interleave(data, F.col("lang") == "chinese", "uid", ["split"], (c.chinese_ratio, c.english_ratio), c.random_seed).select("split", "round", "shuffle", "uid", F.col("token_ids").alias("input_ids"))
-        flat = stream(before, ["round", "shuffle", "uid"], id_bucket(before, "round"), "input_ids", ["split"])
-        return windows(flat, c.context_size, ["split"])
+        return windows(before, ["round", "shuffle", "uid"], id_bucket(before, "round"), c.context_size, "input_ids", ["split"])
+
+    def binarize(self) -> dict[str, int]:
+        """Writes the flat stream of each split as token files with a sidecar beside stage 6;
+        the tokens of each split."""
+        c, before = self.config, self.read(5)
+        folder = f"{c.stage_dir(6)}_tokens"
+        streams = parts(before, ["round", "shuffle", "uid"], id_bucket(before, "round"), tokenbin.PART_TOKENS, "input_ids", ["split"])
+        written = tokenbin.write_tokens(streams, folder, c.token_width, key="split").groupBy("split").agg(F.sum("tokens").alias("tokens")).collect()
+        for r in written:
+            tokenbin.write_sidecar(f"{folder}/{r['split']}/meta.json", vocab_size=c.vocab_size, eos_token_id=c.eos_token_id, tokens=r["tokens"], width=c.token_width)
+        return {r["split"]: r["tokens"] for r in written}
 
     def run(self, first: int = 0, last: int = 6, resume: bool = True) -> dict:
         for stage in range(first, last + 1):
@@ -71,5 +83,8 @@ class Pipeline:
                 continue
             began = time.time()
             self.plan(stage).write.mode("overwrite").parquet(self.config.stage_dir(stage))
-            self.manifest.record(stage, {"rows": self.read(stage).count()}, began)
+            facts = {"rows": self.read(stage).count()}
+            if stage == 6:
+                facts["tokens"] = self.binarize()
+            self.manifest.record(stage, facts, began)
         return self.manifest.state

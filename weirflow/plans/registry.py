@@ -7,14 +7,21 @@ the operator, there is none, and tests hold it against brute force.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import quality as Q
 from weirflow.functions import text as T
+from weirflow.functions import tokenizer
 from weirflow.functions import vectors as V
 from weirflow.operators import acquire, dedup, metrics, order, sample, tokens, vector
+from weirflow.session import new_folder
+from weirflow.sources import jsonl, tokenbin
+
+#: The public tokenizer of the queries.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -128,7 +135,7 @@ _CLEANED = f"""SELECT row_no, source, lang, {_sql_text(_sql_urls(_sql_html('text
 
 def _cleaned(spark, d) -> DataFrame:
     docs = acquire.acquire_chinese(_read(spark, d, "raw_zh")).unionByName(acquire.acquire_english(_read(spark, d, "raw_en")))
-    return docs.withColumn("text", T.clean_all(F.col("text"))).where(Q.not_blank(F.col("text")))
+    return T.once(docs, "text", T.clean_all(F.col("text"))).where(Q.not_blank(F.col("text")))
 
 
 @query(f"SELECT lang, row_no, md5(text) AS h FROM ({_CLEANED}) WHERE {_filled('text')}")
@@ -167,7 +174,8 @@ def _sql_keeps(pattern: str, least: float) -> str:
 
 @query(f"SELECT doc_id, {_sql_keeps(Q.CHINESE, 0.3)} AS chinese, {_sql_keeps(Q.ENGLISH, 0.5)} AS english FROM documents")
 def quality_filter(spark, d):
-    return _read(spark, d, "documents").select("doc_id", Q.keeps(F.col("text"), "chinese").alias("chinese"), Q.keeps(F.col("text"), "english").alias("english"))
+    k = T.once(_read(spark, d, "documents").select("doc_id", "text"), "k", Q.counts(F.col("text")))
+    return k.select("doc_id", Q.keeps_of(F.col("k"), "chinese").alias("chinese"), Q.keeps_of(F.col("k"), "english").alias("english"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN zh > en THEN 'chinese' WHEN en > zh THEN 'english' ELSE 'mixed' END AS detected FROM (
@@ -206,6 +214,18 @@ def near_duplicates(spark, d):
     return dedup.near_duplicates(_read(spark, d, "documents"), "doc_id", "text")
 
 
+@query()
+def near_dedup_first(spark, d):
+    return dedup.near_dedup_first(_read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"""SELECT doc_id, count(DISTINCT s)::INTEGER AS shingles FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_sort(list_distinct(w[i:i + 4])), ' '))) AS s FROM (
+ SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[{T.WS}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 5) GROUP BY doc_id""")
+def shingle_counts(spark, d):
+    s = _read(spark, d, "documents").select("doc_id", dedup.shingles(F.lower(F.col("text"))).alias("s"))
+    return s.where(F.size("s") > 0).select("doc_id", F.size("s").alias("shingles"))
+
+
 # --- budgets, splits, interleaving ------------------------------------------------------
 
 
@@ -247,11 +267,11 @@ def split_rollup(spark, d):
     return sample.split_totals(sample.exact_split(_documents(spark, d), ["lang"], "doc_id"))
 
 
-@query("""SELECT doc_id, floor((rn - 1) / CASE WHEN zh THEN 6 ELSE 4 END)::BIGINT AS round FROM (
- SELECT doc_id, zh, row_number() OVER (PARTITION BY zh ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS rn FROM (SELECT doc_id, coalesce(lang, '') = 'chinese' AS zh FROM documents))""")
+@query("""SELECT doc_id, round, row_number() OVER (PARTITION BY round ORDER BY md5('42:' || doc_id::VARCHAR), doc_id)::INTEGER AS place FROM (SELECT doc_id, floor((rn - 1) / CASE WHEN zh THEN 6 ELSE 4 END)::BIGINT AS round FROM (
+ SELECT doc_id, zh, row_number() OVER (PARTITION BY zh ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS rn FROM (SELECT doc_id, coalesce(lang, '') = 'chinese' AS zh FROM documents)))""")
 def interleave_rounds(spark, d):
     docs = _read(spark, d, "documents")
-    return sample.interleave(docs.select("doc_id", "lang"), F.coalesce(F.col("lang"), F.lit("")) == "chinese", "doc_id").select("doc_id", "round")
+    return sample.interleave(docs.select("doc_id", "lang"), F.coalesce(F.col("lang"), F.lit("")) == "chinese", "doc_id").select("doc_id", "round", F.row_number().over(Window.partitionBy("round").orderBy("shuffle", "doc_id")).alias("place"))
 
 
 @query("""SELECT doc_id, place, worker, batch FROM (SELECT doc_id, place, CASE WHEN n // 7 = 0 THEN 6 ELSE least((place - 1) // (n // 7), 6) END::INTEGER AS worker, ((place - 1) // 16)::BIGINT AS batch, n FROM (
@@ -261,7 +281,7 @@ def epoch_shards_batches(spark, d):
     return sample.batches(sample.worker_shards(placed, 7), 16).select("doc_id", "place", "worker", "batch")
 
 
-@query()
+@query("""SELECT event_type, arg_max(event_id, score) AS event_id FROM (SELECT event_type, event_id, value / 0.6::DOUBLE - ln(-ln((('0x' || substr(md5('42:' || event_type || ':' || event_id::VARCHAR), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE)) AS score FROM events) GROUP BY event_type""")
 def gumbel_sample(spark, d):
     return sample.gumbel_pick(_read(spark, d, "events"), ["event_type"], "event_id", "value")
 
@@ -295,30 +315,50 @@ _FLAT = """(SELECT split, row_number() OVER (PARTITION BY split ORDER BY rec_id,
  SELECT split, rec_id, unnest(token_ids) AS token, generate_subscripts(token_ids, 1) AS i FROM (SELECT DISTINCT rec_id, split, token_ids FROM tokenized_docs WHERE token_ids IS NOT NULL)))"""
 
 
+def _token_docs(spark, d) -> DataFrame:
+    return _read(spark, d, "tokenized_docs").select("rec_id", "split", "token_ids")
+
+
 def _stream(spark, d) -> DataFrame:
-    t = _read(spark, d, "tokenized_docs").select("rec_id", "split", "token_ids").dropDuplicates(["rec_id"])
+    t = _token_docs(spark, d)
     return tokens.stream(t, ["rec_id"], order.id_bucket(t, "rec_id"), keys=["split"])
 
 
+def _windows(spark, d) -> DataFrame:
+    t = _token_docs(spark, d)
+    return tokens.windows(t, ["rec_id"], order.id_bucket(t, "rec_id"), 512, keys=["split"])
+
+
 @query(f"""SELECT split, gpos // 513 AS sample, sum(token)::BIGINT AS total, sum(token * (gpos % 513 + 1))::BIGINT AS check FROM {_FLAT} GROUP BY split, sample HAVING count(*) = 513""")
 def token_windows(spark, d):
-    w = tokens.windows(_stream(spark, d), 512, ["split"])
+    w = _windows(spark, d)
     add = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return w.select("split", "sample", add(F.col("ids")).alias("total"), add(F.transform("ids", lambda x, i: x.cast("bigint") * (i + 1))).alias("check"))
 
 
 @query(f"""SELECT split, gpos // 513 AS sample, sum(token) FILTER (gpos % 513 < 512)::BIGINT AS x, sum(token) FILTER (gpos % 513 > 0)::BIGINT AS y FROM {_FLAT} GROUP BY split, sample HAVING count(*) = 513""")
 def next_token_pairs(spark, d):
-    p = tokens.next_token_pairs(tokens.windows(_stream(spark, d), 512, ["split"]))
+    p = tokens.next_token_pairs(_windows(spark, d))
     add = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return p.select("split", "sample", add(F.col("x")).alias("x"), add(F.col("y")).alias("y"))
 
 
-@query(f"""SELECT gpos, list_sum(list_transform(range(greatest(gpos - 15, 0), gpos + 1), lambda x: x))::BIGINT - (16 - least(gpos + 1, 16)) AS recent, (gpos + 1) // 128 AS blocks FROM {_FLAT} WHERE split = 'val'""")
+@query(f"""SELECT split, gpos // 128 AS part, sum(recent)::BIGINT AS recent, sum(blocks)::BIGINT AS blocks, sum(indices)::BIGINT AS indices FROM (
+ SELECT split, gpos, list_sum(range(greatest(gpos - 15, 0), gpos + 1))::BIGINT - (16 - least(gpos + 1, 16)) AS recent, (gpos + 1) // 128 AS blocks,
+  ((gpos + 1) // 128 - 1) * ((gpos + 1) // 128) * (2 * ((gpos + 1) // 128) - 1) // 6 AS indices FROM {_FLAT}) GROUP BY split, part""")
 def attention_indices(spark, d):
-    val = _stream(spark, d).where("split = 'val'").select("gpos", "token")
-    out = tokens.recent(val, 16, [])
-    return out.select("gpos", F.aggregate("recent", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("recent"), F.size(tokens.completed_blocks(F.col("gpos"), 128)).cast("bigint").alias("blocks"))
+    out = tokens.recent(_stream(spark, d).select("split", "gpos"), 16, [])
+    add = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    blocks = tokens.completed_blocks(F.col("gpos"), 128)
+    told = out.select("split", F.floor(F.col("gpos") / 128).cast("bigint").alias("part"), add("recent").alias("recent"), F.size(blocks).cast("bigint").alias("blocks"), add(F.transform(blocks, lambda b: b.cast("bigint") * b)).alias("indices"))
+    return told.groupBy("split", "part").agg(*[F.sum(c).alias(c) for c in ("recent", "blocks", "indices")])
+
+
+@query(f"""SELECT split, a, sum(CASE WHEN b <= a THEN 1 ELSE 0 END)::BIGINT AS seen FROM (SELECT split, gpos % 64 AS a FROM {_FLAT}), (SELECT unnest(range(0, 64)) AS b) GROUP BY split, a""")
+def causal_counts(spark, d):
+    at = _stream(spark, d).select("split", (F.col("gpos") % 64).alias("a")).groupBy("split", "a").agg(F.count(F.lit(1)).alias("n"))
+    met = at.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return met.groupBy("split", "a").agg(F.sum(F.when(tokens.causal(F.col("a"), F.col("b")), F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("seen"))
 
 
 @query(f"""SELECT split, gpos // 128 AS block, round(sum(exp((token % 7)::DOUBLE) * token) / sum(exp((token % 7)::DOUBLE)), 6) AS pooled, count(*)::BIGINT AS n FROM {_FLAT} GROUP BY split, block""")
@@ -327,6 +367,46 @@ def block_pool(spark, d):
     return tokens.pool_blocks(s, ["split"], "gpos", "token", "score", 128).withColumn("pooled", F.round("pooled", 6))
 
 
+@query(f"""WITH s AS (SELECT split, gpos // 128 AS own, token, (token % 7)::DOUBLE * 200 AS s FROM {_FLAT}), b AS (SELECT split, own + k AS block, own, token, s FROM s, (SELECT unnest([0, 1]) AS k)),
+ t AS (SELECT split, block, max(s) AS top FROM b GROUP BY split, block HAVING max(own) = block)
+ SELECT b.split, b.block, round(sum(exp(s - top) * token) / sum(exp(s - top)), 6) AS pooled, count(*)::BIGINT AS n FROM b JOIN t USING (split, block) GROUP BY b.split, b.block""")
+def block_pool_overlap(spark, d):
+    s = _stream(spark, d).withColumn("score", F.pmod("token", F.lit(7)).cast("double") * 200)
+    return tokens.pool_blocks(s, ["split"], "gpos", "token", "score", 128, overlap=True).withColumn("pooled", F.round("pooled", 6))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS h, coalesce(length(text), 0) = 0 AS without_ids, true AS ends, true AS within FROM documents")
+def encode_round_trip(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", tokenizer.encode(F.col("text"), TOKENIZER).alias("ids"))
+    n = F.size("ids")
+    marked = F.when(n > 0, F.concat(tokens.clamp(F.col("ids"), 50_000), F.array(F.lit(2)))).otherwise(F.col("ids"))
+    return docs.select("doc_id", "ids", marked.alias("m")).select(
+        "doc_id", F.md5(tokenizer.decode(F.col("ids"), TOKENIZER)).alias("h"), (n == 0).alias("without_ids"),
+        ((F.size("m") == 0) | (F.element_at("m", -1) == 2)).alias("ends"), F.forall("m", lambda x: (x >= 0) & (x < 50_000)).alias("within"))
+
+
+@query(f"SELECT split, count(*)::BIGINT AS tokens, sum(token)::BIGINT AS total, sum(token * (gpos % 513 + 1))::BIGINT AS check FROM {_FLAT} GROUP BY split")
+def bin_round_trip(spark, d):
+    """Binarized per split into the shared folder and read back by byte ranges."""
+    t = _token_docs(spark, d)
+    folder = new_folder(spark, "token-files")
+    parts = tokens.parts(t, ["rec_id"], order.id_bucket(t, "rec_id"), tokenbin.PART_TOKENS, keys=["split"])
+    written = tokenbin.write_tokens(parts, folder, key="split").groupBy("split").agg(F.sum("tokens").alias("tokens")).collect()
+    read = [tokenbin.read_tokens(spark, f"{folder}/{r['split']}").withColumn("split", F.lit(r["split"])) for r in written]
+    flat = reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], "gpos bigint, token bigint, split string")
+    return flat.groupBy("split").agg(F.count(F.lit(1)).alias("tokens"), F.sum("token").alias("total"), F.sum(F.col("token") * (F.col("gpos") % 513 + 1)).alias("check"))
+
+
+@query("SELECT row_no, source, coalesce(length(text), 0)::INTEGER AS n, md5(coalesce(text, '')) AS h FROM raw_zh")
+def jsonl_round_trip(spark, d):
+    """Records written as JSON lines in the shared folder and read back."""
+    folder = new_folder(spark, "lines")
+    t = _read(spark, d, "raw_zh").select("row_no", "text", "source")
+    jsonl.write_jsonl(t, folder)
+    read = jsonl.read_jsonl(spark, folder, t.schema)
+    return read.select("row_no", "source", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+
+
 # --- metrics ----------------------------------------------------------------------------
 
 
@@ -375,12 +455,21 @@ def lr_schedule(spark, d):
 _E = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 
-@query(f"""SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v) + 1e-6), 6) AS normed, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm,
- round(CASE WHEN list_max(list_transform(v, lambda x: abs(x))) < 1e-12 THEN 1.0 ELSE list_max(list_transform(v, lambda x: abs(x))) / 448 END, 9) AS scale,
- round(v[1] / (1 + exp(-v[1])), 6) AS silu, round(1 / (1 + exp(-v[2])), 6) AS sigmoid FROM {_E}""")
+def _sql_sum(expr: str) -> str:
+    """Weighted sum over a whole vector: element by element, each with another weight."""
+    return f"round(list_sum(list_transform(range(1, len(v) + 1), lambda i: ({expr}) * (i % 7 + 1))), 5)"
+
+
+def _weighted(v: Column) -> Column:
+    return F.round(F.aggregate(F.transform(v, lambda x, i: x * ((i + 1) % 7 + 1)), F.lit(0.0), lambda a, x: a + x), 5)
+
+
+@query(f"""SELECT vec_id, {_sql_sum('v[i] / sqrt(m + 1e-6)')} AS normed, round(n, 6) AS norm, round(CASE WHEN top < 1e-12 THEN 1.0 ELSE top / 448 END, 9) AS scale,
+ {_sql_sum('v[i] / (1 + exp(-v[i]))')} AS silu, {_sql_sum('1 / (1 + exp(-v[i]))')} AS sigmoid
+ FROM (SELECT vec_id, v, list_sum(list_transform(v, lambda x: x * x)) / len(v) AS m, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, list_max(list_transform(v, lambda x: abs(x))) AS top FROM {_E})""")
 def vector_functions(spark, d):
     v = F.col("embedding")
-    return _read(spark, d, "embeddings").select("vec_id", F.round(V.rms_norm(v)[0], 6).alias("normed"), F.round(V.l2_norm(v), 6).alias("norm"), F.round(V.fp8_scale(v), 9).alias("scale"), F.round(V.silu(v)[0], 6).alias("silu"), F.round(V.sigmoid(v)[1], 6).alias("sigmoid"))
+    return _read(spark, d, "embeddings").select("vec_id", _weighted(V.rms_norm(v)).alias("normed"), F.round(V.l2_norm(v), 6).alias("norm"), F.round(V.fp8_scale(v), 9).alias("scale"), _weighted(V.silu(v)).alias("silu"), _weighted(V.sigmoid(v)).alias("sigmoid"))
 
 
 @query(f"SELECT vec_id, round(list_sum(list_transform(v, lambda x: greatest(least(x / (list_max(list_transform(v, lambda y: abs(y))) / 448), 448), -448) * (list_max(list_transform(v, lambda y: abs(y))) / 448))), 6) AS total FROM {_E}")
@@ -388,10 +477,12 @@ def fp8_fake_quant(spark, d):
     return _read(spark, d, "embeddings").select("vec_id", F.round(V.total(V.fp8_round_trip(F.col("embedding"))), 6).alias("total"))
 
 
-@query(f"""SELECT vec_id, round(v[1] * cos(vec_id) - v[2] * sin(vec_id), 6) AS a, round(v[1] * sin(vec_id) + v[2] * cos(vec_id), 6) AS b, round(v[3] * cos(vec_id / pow(10000.0, 2 / 64.0)) - v[4] * sin(vec_id / pow(10000.0, 2 / 64.0)), 6) AS c FROM {_E}""")
+_ANGLE = "(vec_id / pow(10000.0, 2 * ((i - 1) // 2) / 64.0))"
+
+
+@query(f"""SELECT vec_id, {_sql_sum(f'CASE WHEN i % 2 = 1 THEN v[i] * cos{_ANGLE} - v[i + 1] * sin{_ANGLE} ELSE v[i - 1] * sin{_ANGLE} + v[i] * cos{_ANGLE} END')} AS turned FROM {_E}""")
 def rope(spark, d):
-    r = V.rotate(F.col("embedding"), V.rope_angles(F.col("vec_id"), 64))
-    return _read(spark, d, "embeddings").select("vec_id", r.alias("r")).select("vec_id", F.round(F.col("r")[0], 6).alias("a"), F.round(F.col("r")[1], 6).alias("b"), F.round(F.col("r")[2], 6).alias("c"))
+    return _read(spark, d, "embeddings").select("vec_id", _weighted(V.rotate(F.col("embedding"), V.rope_angles(F.col("vec_id"), 64))).alias("turned"))
 
 
 @query(f"""SELECT vec_id, rank, expert, round(s / sum(s) OVER (PARTITION BY vec_id), 6) AS weight FROM (

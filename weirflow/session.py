@@ -8,7 +8,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,28 +61,52 @@ def keep_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read from there: a
     lineage cut whose columns can be read one by one."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
-def write_shared(df: DataFrame, name: str, by: str) -> str:
-    """Writes ``df`` as Parquet in the shared checkpoint folder, a subfolder for each value of
-    the column ``by``, for tasks that read one part at a time; the folder."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder, until ``clear_folders``."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).option("compression", "zstd").parquet(path)
+    _FOLDERS.append(path)
     return path
 
 
-def read_shared(path: str, columns: list[str]) -> pa.Table:
-    """The Parquet files of a subfolder that ``write_shared`` made, read in a task. A value
-    without rows has no subfolder and gives an empty table."""
-    from pyarrow import fs, parquet
+_FOLDERS: list[str] = []
+
+
+def clear_folders() -> None:
+    """Deletes what this process has written to the shared folder, once no result that
+    reads it is needed any more."""
+    from pyarrow import fs
+
+    while _FOLDERS:
+        store, inner = store_of(_FOLDERS.pop())
+        if store.get_file_info(inner).type != fs.FileType.NotFound:
+            store.delete_dir(inner)
+
+
+def put_shared(path: str, data: bytes) -> None:
+    """Writes a file as a whole, from a task or the driver; a task that runs again replaces
+    what it wrote."""
+    store, inner = store_of(path)
+    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(inner) as f:
+        f.write(data)
+
+
+def get_shared(path: str) -> bytes:
+    store, inner = store_of(path)
+    with store.open_input_stream(inner) as f:
+        return f.read()
+
+
+def store_of(path: str):
+    """The file system of a path or address (local, HDFS, object store) and the path in it,
+    for tasks and the driver alike."""
+    from pyarrow import fs
 
     if not re.match(r"[a-z][a-z0-9+.-]*:", path):
-        path = f"file://{path}"
-    store, inner = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
-    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if f.path.endswith(".parquet"))
-    tables = [parquet.read_table(f, columns=columns, filesystem=store, partitioning=None) for f in files]
-    return pa.concat_tables(tables) if tables else pa.table({c: pa.array([], pa.null()) for c in columns})
+        path = f"file://{Path(path).absolute()}"
+    return fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))

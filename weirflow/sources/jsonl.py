@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from weirflow import schema
 from weirflow.functions.text import strip
 
 REJECTED = "_rejected"
@@ -30,6 +31,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, recursive: bo
     return reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED).json(path)
 
 
+def read_raw(spark: SparkSession, path: str, lang: str) -> DataFrame:
+    """Raw records of ``chinese`` or ``english`` as they enter the pipeline, with ``row_no``
+    from the record itself, so that a run on the same records gives the same numbers."""
+    rows = read_jsonl(spark, path, schema.RAW_ZH if lang == "chinese" else schema.RAW_EN, recursive=True)
+    return rows.withColumn("row_no", F.shiftrightunsigned(F.xxhash64(F.struct(*rows.columns)), 1))
+
+
 def list_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the folder's JSON-lines files, in order."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder).select("path", "length").orderBy("path")

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
 import time
-from pathlib import Path
+
+from weirflow.session import get_shared, put_shared, store_of
 
 
 class Manifest:
-    """``completed`` stages as a set and one record per stage. An unreadable file counts as none."""
+    """``completed`` stages as a set and one record per stage, in a folder of any store. An
+    unreadable file counts as none."""
 
     def __init__(self, folder: str):
-        self.path = Path(folder) / "manifest.json"
+        self.path = f"{folder.rstrip('/')}/manifest.json"
         try:
-            self.state = json.loads(self.path.read_text(encoding="utf-8"))
+            self.state = json.loads(get_shared(self.path))
         except (OSError, ValueError):
             self.state = {"completed": []}
 
@@ -24,7 +25,6 @@ class Manifest:
     def record(self, stage: int, facts: dict, began: float) -> None:
         self.state["completed"] = sorted({*self.state["completed"], stage})
         self.state[f"stage_{stage}"] = facts | {"elapsed_time": time.time() - began}
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        temporary = self.path.with_suffix(".tmp")
-        temporary.write_text(json.dumps(self.state, ensure_ascii=False, indent=2), encoding="utf-8")
-        os.replace(temporary, self.path)
+        put_shared(f"{self.path}.tmp", json.dumps(self.state, ensure_ascii=False, indent=2).encode())
+        store, inner = store_of(self.path)
+        store.move(f"{inner}.tmp", inner)
