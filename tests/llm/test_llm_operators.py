@@ -128,7 +128,11 @@ def test_plan_reaches_targets():
 
 
 def test_splitting_tree_is_exact():
-    tree = mix_sources.splitting_tree(np.array([37, 5, 0, 100]), 8, np.random.default_rng(1))
+    units = np.array([37, 5, 0, 100])
+    by = {most: [x for n in mix_sources.top_nodes(units, 8, [1, 2], most) for x in mix_sources.leaves(n, [1, 2])] for most in (1, 4, 64)}
+    tree = np.array([n for *_, n, _ in by[1]])
+    assert all([n.tolist() for *_, n, _ in v] == tree.tolist() and [x[0] for x in v] == list(range(8)) for v in by.values())
+    assert np.array_equal(np.cumsum(tree, axis=0)[:-1], np.array([at for *_, at in by[1]])[1:])
     assert tree.sum(axis=0).tolist() == [37, 5, 0, 100] and tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 3
 
 
@@ -404,6 +408,11 @@ def test_overlaps_lose_no_altered_text(spark, edit):
     assert {tuple(r) for r in split_overlap.found_pairs(spark.createDataFrame(data, "rec_id bigint, text string, source string, split string")).collect()} >= want
 
 
+def test_bands_of_length():
+    first, parts = split_overlap.bands({1: 5, 2: 4, 5: 30, 6: 3, 9: 8}, 10)
+    assert first == {1: 0, 2: 0, 5: 1, 6: 4, 9: 5} and parts == {1: 1, 2: 1, 5: 3, 6: 1, 9: 1}
+
+
 def test_cuts_give_the_passages_that_are_needed():
     rng = random.Random(3)
     texts = [split_overlap.signs(" ".join(rng.choice("abcdefghij") * rng.choice([1, 2]) for _ in range(n))) for n in (1, 2, 3, 9, 16, 17, 50, 300, 2500)]

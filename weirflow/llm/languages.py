@@ -42,31 +42,49 @@ from pyspark.sql import functions as F
 from weirflow.llm.arrow import map_batches
 from weirflow.llm.garbled import finder, read_samples
 from weirflow.llm.page_body import _BULLET, _LOST, _lost_lines, page_lines, paths, scores, THRESHOLD
-from weirflow.llm.text_stats import KINDS, SAMPLE_ROWS, ProseModel, drawn, fit, statistics
+from weirflow.llm.text_stats import KINDS, SAMPLE_ROWS, ProseModel, drawn, fit_trees, neighbours, statistics
 
 ORDERS = (1, 2, 3, 4)
-LANDMARKS, TRAINED, PER_PAGE = 80, 250, 10
+LANDMARKS, TRAINED, PER_PAGE = 60, 150, 10
 TABLE_BITS = 18
 HASH_BITS = 40
-BATCH = 200
+BATCH = 500
 _BRACKETS = re.compile(r"\([^()]{0,80}\)|（[^（）]{0,80}）|\[[^\[\]]{0,40}\]")
 _SPLIT = re.compile(r"(?<=[。！？])[”」』）]*|(?<=[.!?…])[”\"»’)]*\s+")
 _HAN = re.compile("[㐀-鿿々]")
 _HANS = re.compile("[㐀-鿿々]+")
-_OTHER = re.compile(r"[\W\d_]+")
+#: What is no small letter of ASCII, as a blank.
+_BLANKS = {i: " " for i in range(128) if chr(i) != "\n" and not chr(i).islower()}
+_RUNS = re.compile("  +")
+_OTHER = re.compile(r"(?:[^\w\n]|[\d_])+")
+_THREE_WORDS = re.compile(r"[^ ]{2,}(?: [^ ])* [^ ]{2,}(?: [^ ])* [^ ]{2}")
+_SIGNS = re.compile("[汉\u3040-\u30ff]")
 _CLOSED = re.compile("[.!?。！？…][”\"』」»)）’]*\\s*[»”]?\\s*$")
 _ENDS_COMMA = re.compile("[,，;；、:：]$")
 
 
 def normalise(sentence: str) -> str:
-    """What the kernel sees: small letters, one blank for anything else, folded Han."""
-    if sentence.isascii():
-        s = sentence.lower()
-    else:
-        s = unicodedata.normalize("NFC", sentence).lower()
+    """What the kernel sees: small letters, one blank for anything else, folded Han. Lines
+    stay apart."""
+    s = sentence.lower()
+    if not s.isascii():
+        s = unicodedata.normalize("NFC", s)
         if _HAN.search(s):
             s = _HANS.sub(lambda m: "汉" * min(4, m.end() - m.start()), s)
-    return " " + _OTHER.sub(" ", s).strip() + " "
+        return " " + _OTHER.sub(" ", s).strip(" ") + " "
+    return " " + _RUNS.sub(" ", s.translate(_BLANKS)).strip(" ") + " "
+
+
+def whole_sentences(found: list[str]) -> list[tuple[str, int]]:
+    """(normalised sentence, characters) of those that are whole sentences and not lost: at
+    least three words of two letters or more, or four Chinese or Japanese signs."""
+    out = []
+    for s, normal in zip(found, normalise("\n".join(found)).split("\n")):
+        if not _THREE_WORDS.search(normal) and (s.isascii() or sum(len(w) for w in normal.split(" ") if _SIGNS.search(w)) < 4):
+            continue
+        if s.isascii() or len(_LOST.findall(s)) * 6 < len(s):
+            out.append((f" {normal.strip(' ')} ", len(s)))
+    return out
 
 
 class KernelClassifier:
@@ -258,18 +276,6 @@ def sentences(lines: list[str], own: list[tuple[str, str] | None], bad: list[boo
     return [s for s in (s.strip() for s in out) if s]
 
 
-_SIGNS = re.compile("[汉\u3040-\u30ff]")
-
-
-def long_enough(normal: str) -> bool:
-    """A whole sentence: at least three words of two letters or more, or four Chinese or
-    Japanese signs."""
-    words = normal.split()
-    if sum(len(w) > 1 for w in words) >= 3:
-        return True
-    return not normal.isascii() and sum(len(w) for w in words if _SIGNS.search(w)) >= 4
-
-
 def page_sentences(text: str | None, g) -> tuple[list[tuple[str, int]], list[str], int]:
     """(normalised sentence, characters) of a page's running text; the page's own lines; how
     many of them were garbled."""
@@ -281,8 +287,7 @@ def page_sentences(text: str | None, g) -> tuple[list[tuple[str, int]], list[str
     bad = [s is not None and s < THRESHOLD for s in scores(lines, own)]
     body = [x for x, b in zip(lines, bad) if x and not b]
     garbled = sum(h for x, b, h in zip(lines, bad, hit) if x and not b)
-    told = [(n, len(s)) for s in sentences(lines, own, bad) if (s.isascii() or len(_LOST.findall(s)) * 6 < len(s)) and long_enough(n := normalise(s))]
-    return told, body, garbled
+    return whole_sentences(sentences(lines, own, bad)), body, garbled
 
 
 def runs_of(told: list[tuple[str, int]], p: np.ndarray, langs: list[str]) -> list[tuple[str, float, int]]:
@@ -336,26 +341,46 @@ def _read_labels(lang_labels: DataFrame, limit: int = 10_000) -> dict[str, str]:
     return {r["label"]: r["lang"] for r in rows}
 
 
-def fit_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample: DataFrame | None = None) -> KernelClassifier:
+def page_told(text: str | None, g) -> list[str]:
+    """At most ``PER_PAGE`` of the page's sentences, drawn by a hash."""
+    return sorted({n for n, _ in page_sentences(text, g)[0]}, key=lambda n: (hash_of(n), n))[:PER_PAGE]
+
+
+def fit_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> KernelClassifier:
     """The classifier, fitted on the sample sentences and on at most ``PER_PAGE`` sentences
-    of each of at most ``sample_rows`` labelled documents (or of those in ``sample``, the
-    table of ``drawn``). The sentences are taken out on the executors."""
+    of each of at most ``sample_rows`` labelled documents. The sentences are taken out on
+    the executors."""
+    samples, named = read_samples(lang_samples), _read_labels(lang_labels)
+
+    def take(batch: pa.RecordBatch):
+        g = finder(samples)
+        found = [(named[label], n) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if named.get(label) is not None for n in page_told(text, g)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.string()) for k in (0, 1)], ["lang", "sentence"])
+
+    told = map_batches(drawn(documents, sample_rows).select("lang", "text"), take, "lang string, sentence string").toArrow()
+    return KernelClassifier(trained_on(_read_model(lang_samples), sorted(zip(told.column("lang").to_pylist(), told.column("sentence").to_pylist()))))
+
+
+def fit_both(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[KernelClassifier, ProseModel]:
+    """This classifier and problem 1's model, fitted on one sample that is taken apart once."""
     samples, named = read_samples(lang_samples), _read_labels(lang_labels)
-    sample = drawn(documents, sample_rows) if sample is None else sample
+    known = neighbours(documents)
+    sent = documents.sparkSession.sparkContext.broadcast(known)
 
     def take(batch: pa.RecordBatch):
         g = finder(samples)
-        langs, found = [], []
+        langs, found, stats = [], [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if named.get(label) is not None:
-                told = sorted({n for n, _ in page_sentences(text, g)[0]}, key=lambda n: (hash_of(n), n))[:PER_PAGE]
-                found += told
-                langs += [named[label]] * len(told)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(found, type=pa.string())], ["lang", "sentence"])
+            told, body, garbled = page_sentences(text, g)
+            stats.append(statistics(body, sent.value, garbled) if body else None)
+            langs.append(named.get(label))
+            found.append(sorted({n for n, _ in told}, key=lambda n: (hash_of(n), n))[:PER_PAGE] if langs[-1] is not None else [])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(found, type=pa.list_(pa.string())), pa.array(stats, type=pa.list_(pa.float64()))], ["lang", "found", "s"])
 
-    told = map_batches(sample.select("lang", "text"), take, "lang string, sentence string").toArrow()
-    labelled = sorted(zip(told.column("lang").to_pylist(), told.column("sentence").to_pylist()))
-    return KernelClassifier(trained_on(_read_model(lang_samples), labelled))
+    told = map_batches(drawn(documents, sample_rows).select("lang", "text"), take, "lang string, found array<string>, s array<double>").toArrow()
+    labelled = sorted((lang, n) for lang, found in zip(told.column("lang").to_pylist(), told.column("found").to_pylist()) for n in found)
+    kernel = KernelClassifier(trained_on(_read_model(lang_samples), labelled))
+    return kernel, fit_trees([s for s in told.column("s").to_pylist() if s is not None], known, samples)
 
 
 def hash_of(s: str) -> int:
@@ -399,9 +424,8 @@ def unnamed_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels
     leaves out those that are no prose. Both models are fitted on one sample."""
     samples, named = read_samples(lang_samples), _read_labels(lang_labels)
     context = documents.sparkSession.sparkContext
-    sample = drawn(documents)
-    told_by = context.broadcast(fit_languages(documents, lang_samples, lang_labels, sample=sample))
-    sent = context.broadcast(model or fit(documents, samples, sample=sample))
+    kernel, prose = (fit_languages(documents, lang_samples, lang_labels), model) if model else fit_both(documents, lang_samples, lang_labels)
+    told_by, sent = context.broadcast(kernel), context.broadcast(prose)
 
     def tell(batch: pa.RecordBatch):
         g = finder(samples)

@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.arrow import map_batches
 from weirflow.llm.vocab import DEFAULT_FOLDER, byte_bpe
-from weirflow.session import cut_lineage
+from weirflow.operators.order import hash_bucket, position
+from weirflow.session import cut_lineage, ship
 
 BLOCK_TOKENS = 1 << 18
 MAX_BLOCKS = 1 << 16
@@ -76,21 +77,40 @@ def plan(available: dict[str, int], targets: list[tuple[int, str, float, int]],
     return out
 
 
-def splitting_tree(units: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """``[shards, sources]`` block counts: each node splits its counts in proportion to the
-    shards on either side by a multivariate hypergeometric draw."""
-    out = np.zeros((shards, len(units)), dtype=np.int64)
-    stack = [(0, shards, np.asarray(units, dtype=np.int64))]
+Node = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def split_node(node: Node, seed: list[int]) -> tuple[Node, Node]:
+    """The two halves of a node of the tree: its shards ``a`` to ``b``, its block counts and
+    how many blocks of each source lie before them. The counts are split in proportion to
+    the shards on either side by a multivariate hypergeometric draw of the node's own, so a
+    node splits in the same way wherever it is split."""
+    a, b, counts, before = node
+    mid = (a + b) // 2
+    take = int(counts.sum()) * (mid - a) // (b - a)
+    left = np.random.default_rng([*seed, a, b]).multivariate_hypergeometric(counts, take, method="marginals") if len(counts) else counts
+    return (a, mid, left, before), (mid, b, counts - left, before + left)
+
+
+def leaves(node: Node, seed: list[int]):
+    """The shards below a node, in their order."""
+    stack = [node]
     while stack:
-        a, b, counts = stack.pop()
-        if b - a == 1:
-            out[a] = counts
-            continue
-        mid = (a + b) // 2
-        take = int(counts.sum()) * (mid - a) // (b - a)
-        left = rng.multivariate_hypergeometric(counts, take, method="marginals") if len(counts) else counts
-        stack += [(a, mid, left), (mid, b, counts - left)]
-    return out
+        node = stack.pop()
+        if node[1] - node[0] == 1:
+            yield node
+        else:
+            left, right = split_node(node, seed)
+            stack += [right, left]
+
+
+def top_nodes(units: np.ndarray, shards: int, seed: list[int], most: int = 64) -> list[Node]:
+    """At most ``most`` nodes that hold all shards: what is split before executors go on."""
+    units = np.asarray(units, dtype=np.int64)
+    nodes = [(0, shards, units, np.zeros_like(units))]
+    while len(nodes) * 2 <= most and any(b - a > 1 for a, b, *_ in nodes):
+        nodes = [x for n in nodes for x in (split_node(n, seed) if n[1] - n[0] > 1 else (n,))]
+    return nodes
 
 
 class Mixture:
@@ -160,14 +180,26 @@ class Mixture:
         units = copies.groupBy("mix_id", "source", "block", "copy_no").agg(F.sum("tokens").alias("t"))
         # One row per mix and source.
         held = units.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("units"), F.sum("t").alias("t")).collect()
-        quota = []
+        nodes, names = [], {}
         for m in sorted({r["mix_id"] for r in held}):
             own = sorted((r for r in held if r["mix_id"] == m), key=lambda r: r["source"])
+            names[m] = [r["source"] for r in own]
             n = max(1, min(math.ceil(sum(r["t"] for r in own) / self.shard_tokens), sum(r["units"] for r in own)))
-            tree = splitting_tree(np.array([r["units"] for r in own]), n, np.random.default_rng([self.seed, m]))
-            quota += [(m, r["source"], [int(x) for x in np.cumsum(tree[:, i])]) for i, r in enumerate(own)]
-        upto = spark.createDataFrame(quota, "mix_id int, source string, upto array<bigint>")
-        order = Window.partitionBy("mix_id", "source").orderBy(F.xxhash64("block", "copy_no", "mix_id", F.lit(self.seed + 1)), "block", "copy_no")
-        dealt = units.withColumn("no", F.row_number().over(order)).join(upto, ["mix_id", "source"]).select("mix_id", "source", "block", "copy_no", F.expr("cast(size(filter(upto, u -> u < no)) as int)").alias("shard"))
+            nodes += [(m, a, b, counts.tolist(), before.tolist()) for a, b, counts, before in top_nodes(np.array([r["units"] for r in own]), n, [self.seed, m])]
+        seed = self.seed
+
+        def split(batches):
+            # The lower levels of the tree: which units of each source a shard takes.
+            for batch in batches:
+                for m, a, b, counts, before in zip(*(c.to_pylist() for c in batch.columns)):
+                    for shard, _, n, at in leaves((a, b, np.array(counts, dtype=np.int64), np.array(before, dtype=np.int64)), [seed, m]):
+                        has = np.flatnonzero(n).tolist()
+                        yield pa.RecordBatch.from_arrays([pa.array([m] * len(has), pa.int32()), pa.array([names[m][i] for i in has], pa.string()), pa.array([shard] * len(has), pa.int32()), pa.array([int(at[i]) + 1 for i in has], pa.int64()), pa.array([int(at[i] + n[i]) for i in has], pa.int64())], ["mix_id", "source", "shard", "first", "last"])
+
+        ship(spark)
+        tree = spark.createDataFrame(nodes, "mix_id int, a int, b int, counts array<bigint>, before array<bigint>").repartition(max(1, min(len(nodes), 64)), "mix_id", "a").mapInArrow(split, "mix_id int, source string, shard int, first bigint, last bigint")
+        upto = tree.select("mix_id", "source", "shard", F.explode(F.sequence("first", "last")).alias("no"))
+        numbered = position(units.withColumn("__o", F.md5(F.concat_ws(":", "block", "copy_no", "mix_id", F.lit(str(self.seed + 1))))), ["mix_id", "source"], ["__o", "block", "copy_no"], hash_bucket(F.col("__o")), "no")
+        dealt = numbered.join(upto, ["mix_id", "source", "no"]).select("mix_id", "source", "block", "copy_no", "shard")
         within = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64("doc_id", "copy_no", F.lit(self.seed + 2)), "doc_id", "copy_no")
         return copies.join(dealt, ["mix_id", "source", "block", "copy_no"]).select("mix_id", "shard", F.row_number().over(within).alias("position"), "doc_id", "copy_no")

@@ -63,7 +63,7 @@ NOTICES = (
     r"Terms of use|免责声明|Impressum ·|Mentions légales|Aviso legal|Note legali|Voorwaarden ·|Правовая информация|利用規約",
     r"Back to top|返回顶部|Nach oben|Naar boven|Haut de page|Torna su|Volver arriba|Voltar ao topo|Наверх$|ページの先頭へ",
     # consent
-    r"We use cookies|This site stores|Your privacy matters|By clicking “Accept”|OK, got it|本网站使用缓存|我们重视您的隐私|我知道了$|为提供更好的服务|Wij gebruiken cookies|Wir verwenden Cookies|Nous utilisons des cookies|Usiamo i cookie|Usamos cookies|Мы используем файлы cookie|当サイトではクッキー|(?:En poursuivant|Proseguendo|Al continuar|Ao continuar|Door verder te gaan|Durch die weitere Nutzung|Mit der weiteren Nutzung|Si continúa, acepta|閲覧を続けると|Продолжая)",
+    r"We use cookies|This site stores|Your privacy matters|By clicking “Accept”|OK, got it|本网站使用缓存|我们重视您的隐私|我知道了$|为提供更好的服务|Wij gebruiken cookies|Wir verwenden Cookies|Nous utilisons des cookies|Usiamo i cookie|Usamos cookies|Мы используем файлы cookie|当サイトではクッキー|En poursuivant|Proseguendo|Al continuar|Ao continuar|Door verder te gaan|Durch die weitere Nutzung|Mit der weiteren Nutzung|Si continúa, acepta|閲覧を続けると|Продолжая",
     # log in, subscribe, share, rate, comment
     r"Already a member|Log in to|Sign up for|Subscribe to|Follow us|Share this|Leave a reply|Was this page helpful|Rate this page|Report an error|Add to favourites|Download our|\d+ comments? so far|Please enable JavaScript|Join the discussion",
     r"还没有账号|扫一扫|点赞（|上一篇：|下一篇：|举报错误|收藏本页|点击下载客户端|本文对您有帮助吗|订阅每周精选|已有\d+人评论|分享到：|登录后才能|请登录",
@@ -77,13 +77,25 @@ NOTICES = (
 )
 MORE = r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*(?:Read more|阅读全文|閱讀全文|Lire la suite|Leia mais|続きを読む|Читать далее|Leer más|Leggi tutto|Weiterlesen|Lees meer)\s*$"
 
-_CUE = re.compile("(?:" + "|".join(NOTICES) + ")")
+
+def _by_opening(patterns: tuple[str, ...]) -> tuple[dict[str, re.Pattern], re.Pattern]:
+    """The alternatives of the patterns by their first character, so that a line is held
+    against few of them, and those that open with no fixed character."""
+    found: dict[str, list[str]] = {}
+    for p in re.split(r"\|(?![^(\[]*[)\]])", "|".join(patterns)):
+        found.setdefault(p[0] if p[0] not in "\\.[(" else "", []).append(p)
+    return {k: re.compile("|".join(v)) for k, v in found.items() if k}, re.compile("|".join(found.get("", ["(?!)"])))
+
+
+_CUES, _CUE = _by_opening(NOTICES)
+_OPEN_CUES = re.compile("Academy|▸|直销|学堂|comment|\\(c\\)")
 _HEAD = re.compile("(?:" + LINK_HEADS + r")\s*[:：]?$")
 _MAIL = re.compile("[\\w.-]+@[\\w.-]+\\.[a-z]{2,8}$")
 _MORE = re.compile(MORE)
 _NAMES = frozenset(n for v in MENU.values() for n in v.split("|"))
 _PHRASES = ("未经许可不得转载", "联系邮箱", "All rights reserved", "Alle rechten voorbehouden", "Tous droits réservés", "Alle Rechte vorbehalten", "Todos os direitos", "Todos los derechos", "Tutti i diritti", "Все права защищены", "無断転載を禁じます")
 _SEP = re.compile(r"\s*(?:\t|\s\|\s|\s[·•]\s|\s[>/»›]\s| {2,}|　)\s*")
+_SEPARATED = re.compile("[\t|·•>/»›\u3000]|  ")
 _CRUMB = re.compile(r"\s[>/»›▸→]\s")
 _BULLET = re.compile(r"(?:([-•*»→›▸·–‣◦■□▪])\s+|(\(?\d{1,3}[.)）、]|[①-⑳]|[(（]?[a-zA-Z][.)])\s*)")
 _ENDS = re.compile("[.!?。！？…,，;；、](?:[”\"』」»)）’]*|\\s*[»”])\\s*$")
@@ -131,7 +143,7 @@ def counted(text: str) -> tuple[set[int], set[int]]:
         if not x:
             continue
         lines += templates(x)
-        parts = _SEP.split(x)
+        parts = _SEP.split(x) if _SEPARATED.search(x) else ()
         if len(parts) > 2:
             lines += [t for part in parts for t in templates(part)]
         elif len(x) > 30:
@@ -196,11 +208,12 @@ def _listed_leaf(line: str) -> tuple[str, str]:
         return "bar", "entry"
     if len(bare) < 60 and _HEAD.match(bare):
         return "head", "head"
-    if _CUE.match(bare) or any(p in bare for p in _PHRASES) or "@" in bare and _MAIL.search(bare):
+    first = _CUES.get(bare[:1])
+    if first is not None and first.match(bare) or _OPEN_CUES.search(bare) and _CUE.match(bare) or any(p in bare for p in _PHRASES) or "@" in bare and _MAIL.search(bare):
         return "notice", "notice"
     if ("…" in line or "..." in line) and _MORE.search(line):
         return "links", "teaser"
-    parts = _SEP.split(line)
+    parts = _SEP.split(line) if _SEPARATED.search(line) else ()
     if len(parts) > 1:
         named = sum(p in _NAMES for p in parts)
         if named >= 2 and named >= 0.6 * len(parts):
@@ -208,9 +221,10 @@ def _listed_leaf(line: str) -> tuple[str, str]:
         if named and len(parts) <= 5 and _CRUMB.search(line) and parts[0] in _NAMES:
             return "crumb", "crumb"
     m = _BULLET.match(line)
-    if m and not (_ENDS.search(line) and len(line) > 60):
+    closed = _ENDS.search(line[-16:]) is not None
+    if m and not (closed and len(line) > 60):
         return "main", m.group(1) or "#"
-    if len(line) > 60 or _ENDS.search(line):
+    if len(line) > 60 or closed:
         return "main", "sentence"
     return "main", "short"
 
@@ -220,7 +234,7 @@ def _counted_leaf(line: str, known: Repeated) -> tuple[str, str]:
     own = _listed_leaf(line)
     if own[0] != "main":
         return own
-    parts = _SEP.split(line)
+    parts = _SEP.split(line) if _SEPARATED.search(line) else ()
     if len(parts) > 1:
         named = sum(p in _NAMES or known(p) for p in parts)
         if len(parts) > 2 and named >= 0.6 * len(parts):

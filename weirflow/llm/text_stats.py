@@ -153,14 +153,6 @@ def body_lines(text: str | None, g: Garbled) -> tuple[list[str], int]:
     return [x for x, _ in own], sum(h for _, h in own)
 
 
-def _pieces(cuts: np.ndarray, starts: np.ndarray, cjk: np.ndarray, size: int) -> np.ndarray:
-    """Words in each piece between the cuts; two characters of Chinese or Japanese are one."""
-    edges = np.concatenate((cuts, [size]))
-    weight = np.concatenate(([0], np.cumsum(np.where(cjk[starts], 0.5, 1.0))))
-    upto = weight[np.searchsorted(starts, edges)]
-    return np.diff(np.concatenate(([0.0], upto)))
-
-
 class Neighbours:
     """How often words stand next to each other: for each hashed pair the number of texts
     that have it, for each hashed word how often it is the first or the second of a pair,
@@ -261,11 +253,19 @@ def measured(body: list[str], garbled: int = 0) -> tuple[list[float], np.ndarray
     dots[1:] = (codes[1:] == 46) & (codes[:-1] == 46)
     gaps = np.zeros_like(space)
     gaps[1:-1] = space[1:-1] & page.cjk[:-2] & page.cjk[2:]
+    # words up to each word; two characters of Chinese or Japanese are one
+    upto = np.concatenate(([0.0], np.cumsum(np.where(page.cjk[starts], 0.5, 1.0))))
+
+    def pieces(cuts: np.ndarray) -> np.ndarray:
+        at = upto[np.searchsorted(starts, np.append(cuts, size))]
+        at[1:] -= at[:-1].copy()
+        return at
+
     apart = np.flatnonzero(((f & SEPARATOR) != 0) | full | dots | gaps | wide)
-    segments = _pieces(apart, starts, page.cjk, size)
+    segments = pieces(apart)
     segments = segments[segments > 0]
     parts = np.flatnonzero(full)
-    told = _pieces(parts, starts, page.cjk, size)[:-1]
+    told = pieces(parts)[:-1]
     sentences = int(np.count_nonzero((told >= 3) & (told <= 120)))
     of_segments = float(segments.sum())
     digits, symbols, code, capitals = count(DIGIT), count(SYMBOL) - 2 * boxes, count(CODE) - 2 * boxes, count(UPPER)
@@ -416,20 +416,24 @@ def drawn(documents: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return keep_table(texts.repartition(16), "drawn-documents")
 
 
-def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPLE_ROWS, sample: DataFrame | None = None) -> ProseModel:
-    """Fits the model on weak labels of at most ``sample_rows`` documents (or of those in
-    ``sample``, the table of ``drawn``); the usual pairs of words are those of all documents."""
-    sample = drawn(documents, sample_rows) if sample is None else sample
+def fit(documents: DataFrame, samples: tuple[str, ...], sample_rows: int = SAMPLE_ROWS) -> ProseModel:
+    """Fits the model on weak labels of at most ``sample_rows`` documents; the usual pairs of
+    words are those of all documents."""
     known = neighbours(documents)
     sent = documents.sparkSession.sparkContext.broadcast(known)
 
     def describe(batch: pa.RecordBatch):
         g = finder(samples)
-        bodies = [b for t in dict.fromkeys(batch.column(0).to_pylist()) if (b := body_lines(t, g))[0]]
+        bodies = [b for t in batch.column(0).to_pylist() if (b := body_lines(t, g))[0]]
         yield pa.RecordBatch.from_arrays([pa.array([statistics(b, sent.value, n) for b, n in bodies], type=pa.list_(pa.float64()))], ["s"])
 
-    told = map_batches(sample.select("text"), describe, "s array<double>").toArrow()
-    x = np.array(told.column("s").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
+    told = map_batches(drawn(documents, sample_rows).select("text"), describe, "s array<double>").toArrow()
+    return fit_trees(told.column("s").to_pylist(), known, samples)
+
+
+def fit_trees(rows: list[list[float]], known: Neighbours, samples: tuple[str, ...]) -> ProseModel:
+    """The trees, fitted on the statistics of sample pages; equal rows count once."""
+    x = np.unique(np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES)), axis=0)
     plain = x[(x[:, FEATURES.index("ends_stop")] > 0.5) & (x[:, FEATURES.index("sentences")] > 0.4), USUAL]
     level = float(np.median(plain)) if len(plain) else 1.0
     y = np.array([weak_label(dict(zip(FEATURES, v)), level) for v in x.tolist()], dtype=np.int64)
