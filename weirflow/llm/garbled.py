@@ -171,7 +171,7 @@ def _suspects():
 
 
 @lru_cache(maxsize=1)
-def _openings():
+def openings():
     """Pattern of the characters one of which every match of ``_suspects`` holds."""
     odd = "".join(re.escape(c) for c in sorted(set(rare_readings()) | set("锟拷")))
     return re.compile(f"[{odd}\x80-\x84\x86-\x9f\ue000-\uf8ff�─-╬▀-▟｡-ﾟÂ-ô¡-ÿŒœŠšŸŽžƒˆ˜–-…‰‹›€™ÐÑРСЂ-Џђ-џҐґΓ√‚¬À-Þ°-¿¨÷‗ýþα-ω≈-≥А-Я]")
@@ -179,7 +179,7 @@ def _openings():
 
 def suspect(text: str) -> bool:
     """Whether a text holds anything without which it cannot be garbled."""
-    return not text.isascii() and _openings().search(text) is not None and _suspects().search(text) is not None
+    return not text.isascii() and openings().search(text) is not None and _suspects().search(text) is not None
 
 
 @lru_cache(maxsize=1)
@@ -199,7 +199,7 @@ def han_runs(text: str) -> list[tuple[int, int, str, str, str]]:
     for m in _NON_ASCII.finditer(text):
         run = m.group()
         best: tuple[int, list] | None = None
-        for wrong, _ in codecs.most_common(3):
+        for wrong, _ in codecs.most_common():
             pieces, owner = bytearray(), []
             for i, c in enumerate(run):
                 try:
@@ -275,7 +275,7 @@ class Garbled:
 
     def _sequences(self, text: str, taken: bytearray) -> list[tuple]:
         """Matches of the automata over characters, merged where they adjoin. The right
-        encoding that covers most of the line comes first. In a line of scattered signs a
+        encoding that covers most of the line comes first. In a line of noise a
         reading other than UTF-8 counts only if it covers most of the line."""
         by_right = []
         for right, automaton in automata()[0].items():
@@ -415,10 +415,11 @@ _SYMBOL_IN = re.compile("[^\\W\\d_][°-¹»-¿¢-©¬®¯×÷‗─-■†-•
 
 
 def _noisy(text: str, inside: bytearray) -> bool:
-    """Whether a line has at least four scattered signs outside what is explained by a reading.
-    Bars and angles between blanks separate menus; § ¬ ¦ beside other characters beyond
-    ASCII are what bytes of several encodings become."""
-    return sum(not inside[m.start()] for m in _NOISE.finditer(text)) >= 4
+    """Whether scattered signs, outside what is explained by a reading, are so many for a
+    line's length (one in 25 characters, and four at least) that it is noise. Bars and angles
+    between blanks separate menus; § ¬ ¦ beside other characters beyond ASCII are what bytes
+    of several encodings become."""
+    return sum(not inside[m.start()] for m in _NOISE.finditer(text)) >= max(4, len(text) / 25)
 
 
 def _core(word: str) -> str:

@@ -50,9 +50,10 @@ TABLE_BITS = 18
 HASH_BITS = 40
 BATCH = 500
 _BRACKETS = re.compile(r"\([^()]{0,80}\)|（[^（）]{0,80}）|\[[^\[\]]{0,40}\]")
-_SPLIT = re.compile(r"(?<=[。！？])[”」』）]*|(?<=[.!?…])[”\"»’)]*\s+")
+_SPLIT = re.compile(r"[。！？][”」』）]*|[.!?…][”\"»’)]*\s+")
 _HAN = re.compile("[㐀-鿿々]")
-_HANS = re.compile("[㐀-鿿々]+")
+#: Runs of Han characters, longest first, and what they become until all are replaced.
+_HANS = tuple((re.compile("[㐀-鿿々]{%s}" % n), "\ue000" * k) for n, k in (("4,", 4), ("3", 3), ("2", 2), ("1", 1)))
 #: What is no small letter of ASCII, as a blank.
 _BLANKS = {i: " " for i in range(128) if chr(i) != "\n" and not chr(i).islower()}
 _RUNS = re.compile("  +")
@@ -70,7 +71,9 @@ def normalise(sentence: str) -> str:
     if not s.isascii():
         s = unicodedata.normalize("NFC", s)
         if _HAN.search(s):
-            s = _HANS.sub(lambda m: "汉" * min(4, m.end() - m.start()), s)
+            for run, signs in _HANS:
+                s = run.sub(signs, s)
+            s = s.replace("\ue000", "汉")
         return " " + _OTHER.sub(" ", s).strip(" ") + " "
     return " " + _RUNS.sub(" ", s.translate(_BLANKS)).strip(" ") + " "
 
@@ -418,7 +421,7 @@ def document_languages(documents: DataFrame, lang_samples: DataFrame, lang_label
         "doc_id", "label", F.col("m.lang").alias("lang"), F.col("m.confidence").alias("confidence"), F.when(F.col("all") > 0, F.col("m.chars") / F.col("all")).alias("share"), "languages")
 
 
-def unnamed_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame, sure: float = 0.6, model: ProseModel | None = None) -> DataFrame:
+def unnamed_languages(documents: DataFrame, lang_samples: DataFrame, lang_labels: DataFrame, sure: float = 0.8, model: ProseModel | None = None) -> DataFrame:
     """``doc_id, lang``: languages of whole sentences that the document's label does not
     name. Only documents with such a language are held against problem 1's model, which
     leaves out those that are no prose. Both models are fitted on one sample."""

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.arrow import map_batches, summed
-from weirflow.llm.garbled import Garbled, finder, read_samples
+from weirflow.llm.garbled import Garbled, finder, openings, read_samples, suspect
 
 #: Names of menu entries, by language.
 MENU = {
@@ -342,9 +342,9 @@ def page_lines(text: str, g: Garbled) -> tuple[list[str], list[bool]]:
     """The page's lines, restored and stripped, and which of them were garbled."""
     lines = [x.strip() for x in text.split("\n")]
     hit = [False] * len(lines)
-    if not text.isascii():
+    if not text.isascii() and openings().search(text):
         for i, x in enumerate(lines):
-            if x and not x.isascii():
+            if suspect(x):
                 fixed, bad, _ = g.restore(x)
                 if bad:
                     lines[i], hit[i] = fixed.strip(), True
