@@ -62,7 +62,8 @@ def near_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.8, si
     reps = df.where(F.col(text).isNotNull()).groupBy(dedup_key(F.col(text)).alias("h")).agg(F.min(id_col).alias("id"), F.min_by(text, id_col).alias("t"))
     sets = cut_lineage(reps.select("id", shingles(F.lower(F.col("t")), size).alias("s")).where(F.size("s") > 0))
     flat = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    df_of = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Written, so that the join is one of two plain exchanges, whose hot shingles AQE can split.
+    df_of = cut_lineage(flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     # Shingles of one text only come first in the order of rarity: they take up places of the
     # prefix without being joined.
     single = flat.join(df_of, "g", "left").groupBy("id").agg(

@@ -38,11 +38,36 @@ def nearest(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int,
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def indexed_blocks(queries: DataFrame, blocks: DataFrame, key: str, pos: str, query: str, weights: str, block: str, vector: str, k: int, ratio: int, offset: int = 0) -> DataFrame:
+    """``picked``: for each position the ``k`` blocks of its sequence with the greatest score,
+    best first, plus ``offset``; -1 where it sees fewer. The score is the weighted sum over the
+    heads of the positive part of query head times block vector; a position sees the blocks of
+    ``ratio`` positions that end with or before it. ``query`` holds the heads one after
+    another. A sequence's blocks travel as one array, so no pair becomes a row."""
+    of = blocks.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(F.struct(F.col(block).cast("int").alias("b"), F.transform(vector, lambda x: x.cast("double")).alias("v")))).alias("__all"))
+    seen = F.filter(F.coalesce("__all", F.array().cast("array<struct<b:int,v:array<double>>>")), lambda x: x["b"] < F.floor((F.col(pos) + 1) / ratio))
+
+    def score(x):
+        dim = F.size(x["v"])
+        heads = F.transform(F.col(weights), lambda w, h: w.cast("double") * F.greatest(F.lit(0.0), dot(F.slice(F.col(query), h * dim + 1, dim), x["v"])))
+        return F.struct((-F.aggregate(heads, F.lit(0.0), lambda a, y: a + y)).alias("neg"), x["b"].alias("b"))
+
+    best = F.transform(F.slice(F.array_sort(F.transform(seen, score)), 1, k), lambda x: x["b"] + offset)
+    return queries.join(of, F.col(key) == F.col("__k"), "left").withColumn("picked", F.concat(best, F.array_repeat(F.lit(-1), (F.lit(k) - F.size(best)).cast("int")))).drop("__k", "__all")
+
+
 def scatter_sum(routed: DataFrame, token: str, weight: str, output: str) -> DataFrame:
     """Weighted outputs summed per token."""
     return routed.groupBy(token).agg(F.sum(F.col(weight) * F.col(output)).alias("sum"))
 
 
+def scatter_vectors(routed: DataFrame, token: str, weight: str, vector: str) -> DataFrame:
+    """Weighted vectors summed per token, element by element: partial sums before the shuffle."""
+    flat = routed.select(token, F.col(weight).cast("double").alias("__w"), F.posexplode(vector).alias("__i", "__x"))
+    per = flat.groupBy(token, "__i").agg(F.sum(F.col("__w") * F.col("__x")).alias("__s"))
+    return per.groupBy(token).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__s"))), lambda x: x["__s"]).alias("sum"))
+
+
 def vector_stats(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Vectors, greatest absolute value and root of the summed squares per key."""
     v = F.transform(vector, lambda x: x.cast("double"))

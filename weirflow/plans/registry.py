@@ -343,14 +343,15 @@ def next_token_pairs(spark, d):
     return p.select("split", "sample", add(F.col("x")).alias("x"), add(F.col("y")).alias("y"))
 
 
-@query(f"""SELECT split, gpos // 128 AS part, sum(recent)::BIGINT AS recent, sum(blocks)::BIGINT AS blocks, sum(indices)::BIGINT AS indices FROM (
- SELECT split, gpos, list_sum(range(greatest(gpos - 15, 0), gpos + 1))::BIGINT - (16 - least(gpos + 1, 16)) AS recent, (gpos + 1) // 128 AS blocks,
-  ((gpos + 1) // 128 - 1) * ((gpos + 1) // 128) * (2 * ((gpos + 1) // 128) - 1) // 6 AS indices FROM {_FLAT}) GROUP BY split, part""")
+@query(f"""SELECT split, gpos // 512 AS part, sum(recent)::BIGINT AS recent, sum(blocks)::BIGINT AS blocks, sum(indices)::BIGINT AS indices FROM (
+ SELECT split, gpos, list_sum(range(greatest(gpos % 512 - 15, 0), gpos % 512 + 1))::BIGINT - (16 - least(gpos % 512 + 1, 16)) AS recent, (gpos % 512 + 1) // 64 AS blocks,
+  coalesce(list_sum(list_transform(range(0, (gpos % 512 + 1) // 64), lambda b: b * b)), 0)::BIGINT AS indices FROM {_FLAT}) GROUP BY split, part""")
 def attention_indices(spark, d):
-    out = tokens.recent(_stream(spark, d).select("split", "gpos"), 16, [])
+    """The last 16 positions and the complete blocks of 64 that each position of a window of 512 sees."""
+    at = _stream(spark, d).select("split", F.floor(F.col("gpos") / 512).cast("bigint").alias("part"), (F.col("gpos") % 512).alias("gpos"))
     add = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    blocks = tokens.completed_blocks(F.col("gpos"), 128)
-    told = out.select("split", F.floor(F.col("gpos") / 128).cast("bigint").alias("part"), add("recent").alias("recent"), F.size(blocks).cast("bigint").alias("blocks"), add(F.transform(blocks, lambda b: b.cast("bigint") * b)).alias("indices"))
+    blocks = tokens.completed_blocks(F.col("gpos"), 64)
+    told = tokens.recent(at, 16, []).select("split", "part", add("recent").alias("recent"), F.size(blocks).cast("bigint").alias("blocks"), add(F.transform(blocks, lambda b: b.cast("bigint") * b)).alias("indices"))
     return told.groupBy("split", "part").agg(*[F.sum(c).alias(c) for c in ("recent", "blocks", "indices")])
 
 
@@ -512,6 +513,21 @@ def topk_neighbors(spark, d):
     return near.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 5).alias("least"), F.round(F.max("score"), 5).alias("most"))
 
 
+@query(f"""WITH p AS (SELECT label, vec_id, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM {_E}),
+ d AS (SELECT label, pos // 4 AS b, i, avg(v[i]) AS x, count(*) AS n FROM p, (SELECT unnest(range(1, 17)) AS i) GROUP BY label, b, i HAVING count(*) = 4),
+ c AS (SELECT label, b, list(x ORDER BY i) AS k FROM d GROUP BY label, b),
+ s AS (SELECT vec_id, b, list_sum(list_transform(range(0, 4), lambda h: greatest(list_sum(list_transform(range(1, 17), lambda i: v[h * 16 + i] * k[i])), 0) * v[60 + h + 1])) AS score FROM p JOIN c ON p.label = c.label AND b < (pos + 1) // 4),
+ r AS (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, b) AS rank FROM s)
+ SELECT p.vec_id, coalesce(string_agg((b + 100)::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3), '') AS picked, 3 - count(b) FILTER (rank <= 3) AS missing FROM p LEFT JOIN r ON p.vec_id = r.vec_id GROUP BY p.vec_id""")
+def block_index(spark, d):
+    e = _read(spark, d, "embeddings").withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    flat = e.select("label", F.floor(F.col("pos") / 4).cast("int").alias("b"), F.posexplode(F.slice("embedding", 1, 16)).alias("i", "x")).groupBy("label", "b", "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n")).where("n = 4")
+    blocks = flat.groupBy("label", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("k"))
+    out = vector.indexed_blocks(e.withColumn("w", F.slice("embedding", 61, 4)), blocks, "label", "pos", "embedding", "w", "b", "k", 3, 4, offset=100)
+    found = F.filter("picked", lambda x: x >= 0)
+    return out.select("vec_id", F.array_join(found, ",").alias("picked"), (3 - F.size(found)).cast("bigint").alias("missing"))
+
+
 @query(f"""SELECT label, count(*)::BIGINT AS vectors, round(max(list_max(list_transform(v, lambda x: abs(x)))), 6) AS abs_max, round(sqrt(sum(list_sum(list_transform(v, lambda x: x * x)))), 5) AS norm FROM {_E} GROUP BY label""")
 def vector_stats(spark, d):
     return vector.vector_stats(_read(spark, d, "embeddings"), ["label"], "embedding").select("label", "vectors", F.round("abs_max", 6).alias("abs_max"), F.round("norm", 5).alias("norm"))
@@ -529,6 +545,15 @@ def expert_scatter(spark, d):
     return vector.scatter_sum(routed, "token", "l_discount", "l_quantity").withColumn("sum", F.round("sum", 6))
 
 
+@query(f"""SELECT user_id, round(sum(s * (i % 7 + 1)), 4) AS sum, count(*)::INTEGER AS n FROM (
+ SELECT user_id, i, sum(value * v[i]) AS s FROM events JOIN {_E} ON vec_id = event_id % 500, (SELECT unnest(range(1, 65)) AS i) WHERE value IS NOT NULL GROUP BY user_id, i) GROUP BY user_id""")
+def expert_scatter_vectors(spark, d):
+    e = _read(spark, d, "events").where("value is not null").withColumn("vec_id", F.col("event_id") % 500)
+    routed = e.join(_read(spark, d, "embeddings"), "vec_id")
+    out = vector.scatter_vectors(routed, "user_id", "value", "embedding")
+    return out.select("user_id", F.round(F.aggregate(F.transform("sum", lambda x, i: x * ((i + 1) % 7 + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("sum"), F.size("sum").alias("n"))
+
+
 # --- sources and joins ------------------------------------------------------------------
 
 
