@@ -216,7 +216,7 @@ def test_body_keeps_lines_as_they_are(spark, odd, samples):
 
 def lists_emptied(monkeypatch):
     never = re.compile("(?!)")
-    for name, value in (("_NAMES", frozenset()), ("_HEAD", never), ("_CUE", never), ("_PHRASES", ()), ("_MAIL", never)):
+    for name, value in (("_NAMES", frozenset()), ("_HEAD", never), ("_CUE", never), ("_CUES", {}), ("_PHRASES", ()), ("_MAIL", never)):
         monkeypatch.setattr(page_body, name, value)
     page_body._listed_leaf.cache_clear()
     page_body._counted_leaf.cache_clear()
@@ -320,6 +320,8 @@ def test_languages(spark, samples):
     rows = languages.document_segments(docs, samples, labels).orderBy("doc_id", "segment").collect()
     assert [(r["doc_id"], r["lang"]) for r in rows] == [(1, "french"), (1, "german"), (1, "chinese"), (2, None), (3, None), (4, None)]
     assert {(r["doc_id"], r["lang"]) for r in languages.unnamed_languages(docs, samples, labels).collect()} == {(1, "german"), (1, "chinese")}
+    assert [r["lang"] for r in languages.document_segments(docs, samples.limit(0), labels).collect()] == [None] * 4 and languages.unnamed_languages(docs, samples.limit(0), labels).count() == 0
+    assert languages.document_segments(docs.limit(0), samples, labels).count() == 0
     assert {r["doc_id"]: r["languages"] for r in languages.document_languages(docs, samples, labels).collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,12 +13,18 @@ from weirflow.session import ship
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch. Empty batches are passed over."""
+    """``mapInArrow`` with a function of one batch. Empty batches are passed over. The search
+    for reference cycles rests within a batch: the operators make none, and it would walk
+    over all rows of the batch again and again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from fn(batch)
+                gc.disable()
+                try:
+                    yield from fn(batch)
+                finally:
+                    gc.enable()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

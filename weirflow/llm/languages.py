@@ -1,14 +1,14 @@
 """Problem 3: the language of each document and of each segment in another language.
 
 Method: string-kernel classification. Sentences are compared by the blended-spectrum
-presence kernel, the number of character n-grams (n = 1..4) they share, normalised by the
+presence kernel, the number of character n-grams (n = 2..4) they share, normalised by the
 sizes of both sets. The classifier is fitted on the sample sentences of each language (a
 fixed table) and on sentences of a bounded sample of labelled documents (at most
 ``SAMPLE_ROWS``, drawn by a hash of the id, ``PER_PAGE`` sentences of each): a sentence that
 several of them hold belongs to the language that most of their labels name, one that stands
 alone to its document's language; a first classifier, fitted on the samples only, weighs in
-on the former and has to agree to the latter. Of these, ``TRAINED`` sentences a language are taken so that
-they cover the usual n-grams, the first ``LANDMARKS`` of them as landmarks; the Nyström map
+on the former and has to agree to the latter. Of these, ``LANDMARKS`` a language are drawn so that they cover the usual
+n-grams, and with them ``TRAINED`` are fitted on, the commonest first; the Nyström map
 over the landmarks and one-versus-rest kernel ridge regression give a weight matrix over
 landmarks, which the landmarks' own n-grams turn into one weight row per n-gram. Scoring a
 batch of sentences is then one product of their sparse presence matrix with that weight
@@ -20,8 +20,8 @@ Documents are read as problem 9 restores them and without the furniture problem
 Titles, list items and bracketed terms are no sentences. Adjoining sentences of one language
 form a segment.
 
-Defined results: null, empty and blank texts, and texts without a whole sentence, have no
-segment and a null language; a label that is null or not in the table of labels names none;
+Defined results: null, empty and blank texts, texts without a whole sentence, and all texts
+where there are no sample sentences, have no segment and a null language; a label that is null or not in the table of labels names none;
 repeated rows come out as often as they went in; empty tables give empty results.
 """
 
@@ -41,14 +41,15 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.arrow import map_batches
 from weirflow.llm.garbled import finder, read_samples
-from weirflow.llm.page_body import _BULLET, _LOST, _lost_lines, page_lines, paths, scores, THRESHOLD
+from weirflow.llm.page_body import _BULLET, _LOST, _lost_lines, below, page_lines, paths
 from weirflow.llm.text_stats import KINDS, SAMPLE_ROWS, ProseModel, drawn, fit_trees, neighbours, statistics
 
-ORDERS = (1, 2, 3, 4)
-LANDMARKS, TRAINED, PER_PAGE = 60, 150, 10
+ORDERS = (2, 3, 4)
+LANDMARKS, TRAINED, PER_PAGE = 60, 250, 10
 TABLE_BITS = 18
 HASH_BITS = 40
-BATCH = 500
+BATCH, PRODUCT = 10_000, 4_000
+SURE = 0.9
 _BRACKETS = re.compile(r"\([^()]{0,80}\)|（[^（）]{0,80}）|\[[^\[\]]{0,40}\]")
 _SPLIT = re.compile(r"[。！？][”」』）]*|[.!?…][”\"»’)]*\s+")
 _HAN = re.compile("[㐀-鿿々]")
@@ -57,8 +58,9 @@ _HANS = tuple((re.compile("[㐀-鿿々]{%s}" % n), "\ue000" * k) for n, k in (("
 #: What is no small letter of ASCII, as a blank.
 _BLANKS = {i: " " for i in range(128) if chr(i) != "\n" and not chr(i).islower()}
 _RUNS = re.compile("  +")
-_OTHER = re.compile(r"(?:[^\w\n]|[\d_])+")
-_THREE_WORDS = re.compile(r"[^ ]{2,}(?: [^ ])* [^ ]{2,}(?: [^ ])* [^ ]{2}")
+_DIGITS = re.compile(r"[\d_]+")
+_OTHER = re.compile(r"[^\w\n]+")
+_MORE_THAN_ONE = (1).__lt__
 _SIGNS = re.compile("[汉\u3040-\u30ff]")
 _CLOSED = re.compile("[.!?。！？…][”\"』」»)）’]*\\s*[»”]?\\s*$")
 _ENDS_COMMA = re.compile("[,，;；、:：]$")
@@ -74,7 +76,7 @@ def normalise(sentence: str) -> str:
             for run, signs in _HANS:
                 s = run.sub(signs, s)
             s = s.replace("\ue000", "汉")
-        return " " + _OTHER.sub(" ", s).strip(" ") + " "
+        return " " + _OTHER.sub(" ", _DIGITS.sub(" ", s)).strip(" ") + " "
     return " " + _RUNS.sub(" ", s.translate(_BLANKS)).strip(" ") + " "
 
 
@@ -82,10 +84,12 @@ def whole_sentences(found: list[str]) -> list[tuple[str, int]]:
     """(normalised sentence, characters) of those that are whole sentences and not lost: at
     least three words of two letters or more, or four Chinese or Japanese signs."""
     out = []
-    for s, normal in zip(found, normalise("\n".join(found)).split("\n")):
-        if not _THREE_WORDS.search(normal) and (s.isascii() or sum(len(w) for w in normal.split(" ") if _SIGNS.search(w)) < 4):
+    text = "\n".join(found)
+    lost = _LOST.search(text) is not None
+    for s, normal in zip(found, normalise(text).split("\n")):
+        if sum(map(_MORE_THAN_ONE, map(len, normal.split(" ")))) < 3 and (s.isascii() or sum(len(w) for w in normal.split(" ") if _SIGNS.search(w)) < 4):
             continue
-        if s.isascii() or len(_LOST.findall(s)) * 6 < len(s):
+        if not lost or len(_LOST.findall(s)) * 6 < len(s):
             out.append((f" {normal.strip(' ')} ", len(s)))
     return out
 
@@ -103,8 +107,8 @@ class KernelClassifier:
         presence = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
         for i, gs in enumerate(grams):
             presence[i, [vocabulary[g] for g in gs if g in vocabulary]] = 1 / math.sqrt(max(1, len(gs)))
-        self.temperature = self._temperature(presence, marks, y, ridge)
-        self.weights = np.vstack([np.zeros((1, len(self.langs)), np.float32), self._solve(presence, marks, y, ridge).astype(np.float32)])
+        self.temperature = self._temperature(presence, marks, y, ridge) if rows else 1.0
+        self.weights = np.vstack([np.zeros((1, len(self.langs)), np.float32), self._solve(presence, marks, y, ridge).astype(np.float32) if rows else np.zeros((0, 0), np.float32)])
         # n-gram -> row of the weights: an open table over its hash, probed place by place
         self.keys = np.full(1 << TABLE_BITS, -1, dtype=np.int64)
         self.slots = np.zeros(1 << TABLE_BITS, dtype=np.int32)
@@ -139,10 +143,10 @@ class KernelClassifier:
         return base.T @ (root @ w).astype(np.float32)
 
     def _temperature(self, presence: np.ndarray, marks: list[int], y: np.ndarray, ridge: float) -> float:
-        """Scale of the scores that gives held-out sentences (three folds) the least log loss."""
+        """Scale of the scores that gives held-out sentences (two folds) the least log loss."""
         z = np.zeros((len(y), len(self.langs)))
-        for fold in range(3):
-            out = np.arange(len(y)) % 3 == fold
+        for fold in range(2):
+            out = np.arange(len(y)) % 2 == fold
             m = [i for i in marks if not out[i]]
             if m and (~out).any():
                 z[out] = presence[out] @ self._solve(presence, m, y, ridge, np.flatnonzero(~out))
@@ -154,16 +158,22 @@ class KernelClassifier:
         return best[1]
 
     def classify(self, sentences: list[str]) -> np.ndarray:
-        """Probabilities of the languages, a row for each normalised sentence."""
+        """Probabilities of the languages, a row for each normalised sentence. Equal sentences
+        are scored once."""
         known = {s: i for i, s in enumerate(dict.fromkeys(sentences))}
         if not known:
             return np.zeros((0, len(self.langs)))
+        every = list(known)
+        p = np.concatenate([self._score(every[at:at + PRODUCT]) for at in range(0, len(every), PRODUCT)])
+        return p[[known[s] for s in sentences]]
+
+    def _score(self, known: list[str]) -> np.ndarray:
         lengths = np.array([len(s) for s in known])
         codes = np.frombuffer("".join(known).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         owner = np.repeat(np.arange(len(known)) << HASH_BITS, lengths)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
         # owner and hash in one number: a plain sort brings equal n-grams together
-        key = np.concatenate([(owner[:len(h)] | h)[left[:len(h)] >= n] for n, h in enumerate(self._hashes(codes, min(len(codes), ORDERS[-1])), 1)])
+        key = np.concatenate([(owner[:len(h)] | h)[left[:len(h)] >= n] for n, h in enumerate(self._hashes(codes, min(len(codes), ORDERS[-1])), 1) if n in ORDERS])
         key.sort()
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         o, h = key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
@@ -184,8 +194,7 @@ class KernelClassifier:
         starts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
         z = np.add.reduceat(self.weights[slot], starts, axis=0).astype(np.float64) / np.sqrt(total)[:, None] * self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        return p[[known[s] for s in sentences]]
+        return p / p.sum(axis=1, keepdims=True)
 
 
 def spectrum(s: str) -> set[str]:
@@ -193,9 +202,9 @@ def spectrum(s: str) -> set[str]:
     return {s[i:i + n] for n in ORDERS for i in range(len(s) - n + 1)}
 
 
-def covering(counted: Counter, most: int) -> list[str]:
-    """At most ``most`` of the sentences, each next one adding the most of the usual n-grams
-    for its length."""
+def covering(counted: Counter, most: int, landmarks: int) -> list[str]:
+    """At most ``most`` of the sentences: first ``landmarks``, each next one adding the most
+    of the usual n-grams for its length, then the commonest of the others."""
     items = sorted(counted.items(), key=lambda x: (-x[1], hash_of(x[0]), x[0]))[:4 * most]
     seen: Counter = Counter()
     grams = [spectrum(s) for s, _ in items]
@@ -210,7 +219,7 @@ def covering(counted: Counter, most: int) -> list[str]:
     heap = [(-gain(i), i) for i in range(len(items))]
     heapq.heapify(heap)
     out = []
-    while heap and len(out) < most:
+    while heap and len(out) < landmarks:
         _, i = heapq.heappop(heap)
         now = gain(i)
         if heap and now < -heap[0][0] - 1e-12:
@@ -218,7 +227,8 @@ def covering(counted: Counter, most: int) -> list[str]:
             continue
         out.append(items[i][0])
         have |= grams[i]
-    return out
+    taken = set(out)
+    return (out + [s for s, _ in items if s not in taken])[:most]
 
 
 def trained_on(rows: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -240,7 +250,7 @@ def trained_on(rows: list[tuple[str, str]], labelled: list[tuple[str, str]]) ->
             found[lang][s] += c.total()
     for lang, s in first:
         found[lang][s] += 1
-    return [(lang, s) for lang in langs for s in covering(found[lang], TRAINED)]
+    return [(lang, s) for lang in langs for s in covering(found[lang], TRAINED, LANDMARKS)]
 
 
 def sentences(lines: list[str], own: list[tuple[str, str] | None], bad: list[bool]) -> list[str]:
@@ -255,10 +265,11 @@ def sentences(lines: list[str], own: list[tuple[str, str] | None], bad: list[boo
         if m and m.group(0).strip():
             x = x[m.end():]
             open_line = False
-            if not _CLOSED.search(x):
+            if not _CLOSED.search(x[-16:]):
                 continue
-        x = _BRACKETS.sub(" ", x).strip()
-        closed = bool(_CLOSED.search(x))
+        if "(" in x or "（" in x or "[" in x:
+            x = _BRACKETS.sub(" ", x).strip()
+        closed = _CLOSED.search(x[-16:]) is not None
         if p[1] == "short" and not closed and not open_line:
             # a title, unless the text goes on in the next line
             if not _ENDS_COMMA.search(x):
@@ -287,41 +298,49 @@ def page_sentences(text: str | None, g) -> tuple[list[tuple[str, int]], list[str
     lines, hit = page_lines(text, g)
     own = paths(lines)
     _lost_lines(lines, own)
-    bad = [s is not None and s < THRESHOLD for s in scores(lines, own)]
+    bad = below(lines, own)
     body = [x for x, b in zip(lines, bad) if x and not b]
     garbled = sum(h for x, b, h in zip(lines, bad, hit) if x and not b)
     return whole_sentences(sentences(lines, own, bad)), body, garbled
 
 
-def runs_of(told: list[tuple[str, int]], p: np.ndarray, langs: list[str]) -> list[tuple[str, float, int]]:
-    """(language, confidence, characters) of each run of sentences of one language."""
+def runs_of(told: list[tuple[str, int]], best: list[int], sure: list[float], langs: list[str]) -> list[tuple[str, float, int]]:
+    """(language, confidence, characters) of each run of sentences of one language. ``best``
+    and ``sure``: the likeliest language of each sentence and its probability."""
     runs: list[list] = []
-    p = in_context(p) if len(p) else p
-    for (_, n), k, sure in zip(told, p.argmax(axis=1).tolist() if len(p) else (), p.max(axis=1).tolist() if len(p) else ()):
+    for (_, n), k, c in zip(told, best, sure):
         if runs and runs[-1][0] == k:
-            runs[-1][1].append((sure, n))
+            runs[-1][1] += c * n
+            runs[-1][2] += n
         else:
-            runs.append([k, [(sure, n)]])
-    return [(langs[k], sum(c * n for c, n in v) / sum(n for _, n in v), sum(n for _, n in v)) for k, v in runs]
+            runs.append([k, c * n, n])
+    return [(langs[k], c / n, n) for k, c, n in runs]
 
 
 def segments(texts: list[str | None], model: KernelClassifier, g) -> list[tuple[list[tuple[str, float, int]], list[str], int]]:
     """For each text its runs, its own lines and how many of them were garbled. The
     sentences of all texts are scored in one batch."""
     pages = [page_sentences(t, g) for t in texts]
+    if not model.langs:
+        return [([], body, garbled) for _, body, garbled in pages]
     p = model.classify([n for told, _, _ in pages for n, _ in told])
+    best, sure = p.argmax(axis=1).tolist(), p.max(axis=1).tolist()
     out, at = [], 0
     for told, body, garbled in pages:
-        out.append((runs_of(told, p[at:at + len(told)], model.langs), body, garbled))
-        at += len(told)
+        end = at + len(told)
+        if told and min(sure[at:end]) < SURE:
+            q = in_context(p[at:end])
+            best[at:end], sure[at:end] = q.argmax(axis=1).tolist(), q.max(axis=1).tolist()
+        out.append((runs_of(told, best[at:end], sure[at:end], model.langs), body, garbled))
+        at = end
     return out
 
 
 def in_context(p: np.ndarray, floor: float = 0.03) -> np.ndarray:
-    """Probabilities of a document's sentences: an unsure sentence, one below 0.9, is weighed
+    """Probabilities of a document's sentences: an unsure sentence, one below ``SURE``, is weighed
     between its two likeliest languages by the languages of the document's sure ones. A sure
     sentence stays as it is, however long the document."""
-    sure = p.max(axis=1) >= 0.9
+    sure = p.max(axis=1) >= SURE
     if not sure.any() or sure.all():
         return p
     second = np.sort(p, axis=1)[:, -2:-1]

@@ -105,55 +105,45 @@ BLOCK_WEIGHT = {"main": 1.0, "links": 0.1, "bar": 0.1, "crumb": 0.1, "notice": 0
 THRESHOLD = 1.3
 TABLE_BITS = 21
 REPEATED_SHARE, REPEATED_SHORT, REPEATED_PAGES, OUTSIDE = 6e-4, 2e-3, 5, 4
-_LETTERS = re.compile(r"[^\W\d_]{2}")
-_WORDED = re.compile(r"[^\W\d_]{4}|[^\W\d_]{2}.*[^\W\d_]{2}")
 _NUMBER = re.compile(r"\d+")
-_ADDRESS = re.compile(r"[\w-]*(?:\.[\w-]+)+")
-_EDGE = "-•*»→›▸·«←>| \t"
-_CLAUSE = re.compile("[.!?…,;:][”\"』」»)）’]*\\s|[。！？，；：、]+[”\"』」»)）’]*\\s*")
+_ADDRESS = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+_DOTTED = re.compile(r"\w\.\w")
+_LETTERS = re.compile(r"[^\W\d_]{2}")
+_EDGE = "-•*»→›▸·«←>|.!?。！？…，,;；:： \t\r"
+_CLAUSE = re.compile("[.!?…,;:]\\s|[。！？，；：、]")
 
 
-def templates(line: str, clause: bool = False) -> list[str]:
-    """What a line repeats: the line without its numbers, addresses and marks; of a
-    single closed clause, and of any clause of a paragraph, also how it begins and ends."""
-    t = _NUMBER.sub("0", line.strip(_EDGE))
-    if "." in t:
+def template(line: str) -> str:
+    """What a line, a menu's cell or a clause repeats: itself without its numbers, addresses
+    and the marks at its ends; '' for what has no word."""
+    t = _NUMBER.sub("0", line)
+    if _DOTTED.search(t):
         t = _ADDRESS.sub("@", t)
-    if len(t) < 2 or not _LETTERS.search(t):
-        return []
-    if not clause and (not _ENDS.search(t) or _CLAUSE.search(t[:-1])):
-        return [t]
-    w = t.split(" ")
-    if len(w) > 2:
-        ends = ["^" + " ".join(w[:4]), "$" + " ".join(w[-4:])] if clause or len(w) >= 7 else []
-    else:
-        ends = ["^" + t[:7], "$" + t[-7:]] if clause or len(t) >= 14 else []
-    return [t, *(x for x in ends if _WORDED.search(x))]
+    t = t.strip(_EDGE)
+    return t if _LETTERS.search(t) else ""
 
 
-def _slots(texts: list[str]) -> list[int]:
-    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) & (1 << TABLE_BITS) - 1 for t in texts]
+def _slot(t: str) -> int:
+    return zlib.crc32(t.encode("utf-8", "surrogatepass")) & (1 << TABLE_BITS) - 1
 
 
 def counted(text: str) -> tuple[set[int], set[int]]:
     """Places in the table of what a page has as lines or cells, and within paragraphs."""
-    lines, inside = [], []
+    lines, inside = set(), set()
+    text = _NUMBER.sub("0", text)
     for x in text.split("\n"):
-        x = x.strip()
+        x = x.strip(_EDGE)
         if not x:
             continue
-        lines += templates(x)
-        parts = _SEP.split(x) if _SEPARATED.search(x) else ()
-        if len(parts) > 2:
-            lines += [t for part in parts for t in templates(part)]
+        t = _ADDRESS.sub("@", x) if _DOTTED.search(x) else x
+        lines.add(t)
+        if _SEPARATED.search(x) and len(parts := _SEP.split(t)) > 2:
+            lines.update(p.strip(_EDGE) for p in parts)
         elif len(x) > 30:
-            at, told = 0, []
-            for m in _CLAUSE.finditer(x):
-                told.append(x[at:m.end()].strip())
-                at = m.end()
-            if len(told) > 1 or told and at < len(x):
-                inside += [t for part in (*told, x[at:]) if part for t in templates(part, True)]
-    return set(_slots(lines)), set(_slots(inside))
+            told = _CLAUSE.split(t)
+            if len(told) > 1:
+                inside.update(told)
+    return set(map(_slot, lines)), {_slot(c.strip(_EDGE)) for c in inside}
 
 
 class Repeated:
@@ -166,9 +156,11 @@ class Repeated:
         self.long, self.short = (np.packbits(alone & (lines >= max(least, share * pages))) for share in (REPEATED_SHARE, REPEATED_SHORT))
 
     def __call__(self, line: str) -> bool:
-        told = templates(line)
-        bits = self.long if _ENDS.search(line) else self.short
-        return any(bits[i >> 3] >> (7 - (i & 7)) & 1 for i in _slots(told))
+        t = template(line)
+        if not t:
+            return False
+        i = _slot(t)
+        return bool((self.long if _ENDS.search(line[-16:]) else self.short)[i >> 3] >> (7 - (i & 7)) & 1)
 
 
 def repeated_lines(documents: DataFrame) -> Repeated:
@@ -195,14 +187,10 @@ def repeated_lines(documents: DataFrame) -> Repeated:
     return Repeated(n[:size], n[size:-1], float(n[-1]))
 
 
-def leaf(line: str, known: Repeated | None = None) -> tuple[str, str]:
-    """Block and leaf of a stripped line by itself; the blocks ``head`` and ``single`` may
-    open ``links``."""
-    return _listed_leaf(line) if known is None else _counted_leaf(line, known)
-
-
 @lru_cache(maxsize=50_000)
 def _listed_leaf(line: str) -> tuple[str, str]:
+    """Block and leaf of a stripped line by itself and the lists; the block ``head`` opens
+    ``links``."""
     bare = line.lstrip("-•*»→›▸· ")
     if bare in _NAMES:
         return "bar", "entry"
@@ -231,6 +219,7 @@ def _listed_leaf(line: str) -> tuple[str, str]:
 
 @lru_cache(maxsize=50_000)
 def _counted_leaf(line: str, known: Repeated) -> tuple[str, str]:
+    """The same by the lists and by what the line repeats; ``single`` may open ``links``."""
     own = _listed_leaf(line)
     if own[0] != "main":
         return own
@@ -248,7 +237,9 @@ def _counted_leaf(line: str, known: Repeated) -> tuple[str, str]:
 
 def paths(lines: list[str], known: Repeated | None = None) -> list[tuple[str, str] | None]:
     """Block and leaf of each line in its place; None for blank lines."""
-    own = [leaf(x, known) if x else None for x in lines]
+    own = [_listed_leaf(x) if x else None for x in lines] if known is None else [_counted_leaf(x, known) if x else None for x in lines]
+    if not any(p is not None and p[0] in ("head", "single") for p in own):
+        return own
     spaced = sum(a is None for a in own) >= 0.4 * max(1, len(own) - 1)
     filled = [i for i, p in enumerate(own) if p]
     if known is not None:
@@ -335,6 +326,15 @@ def furniture(lines: list[str], known: Repeated | None = None) -> list[bool]:
     """Which of the (restored, stripped) lines of one page are furniture."""
     own = paths(lines, known)
     _lost_lines(lines, own)
+    return below(lines, own)
+
+
+def below(lines: list[str], own: list[tuple[str, str] | None]) -> list[bool]:
+    """Which lines' scores stay below the threshold. No score of ``main`` does, as its weight
+    is 1 and a line's length alone adds ln 2 at least, and runs are smoothed by themselves;
+    so a page without other blocks need not be scored."""
+    if all(p is None or p[0] == "main" for p in own):
+        return [False] * len(own)
     return [s is not None and s < THRESHOLD for s in scores(lines, own)]
 
 

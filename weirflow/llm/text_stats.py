@@ -364,8 +364,8 @@ def neighbours(documents: DataFrame) -> Neighbours:
         n, lo, hi = np.zeros(size, np.int64), np.full(slots, np.iinfo(np.int32).max, np.int32), np.full(slots, np.iinfo(np.int32).min, np.int32)
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 fresh = {h: t for h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if h not in seen}
                 if len(seen) > 1_000_000:
                     seen.clear()

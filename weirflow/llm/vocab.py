@@ -31,36 +31,3 @@ def splitter():
     import regex
 
     return regex.compile(PATTERN)
-
-
-class PieceLengths:
-    """Token counts of pieces, each distinct piece tokenized once while it is cached.
-
-    The cache holds at most ``limit`` pieces; it starts anew when full, so memory stays
-    bounded and counts stay exact.
-    """
-
-    def __init__(self, name: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER, limit: int = 200_000):
-        self._core = byte_bpe(name, folder)._core_bpe
-        self._limit = limit
-        self._known: dict[str, int] = {}
-
-    def of_piece(self, piece: str) -> int:
-        n = self._known.get(piece)
-        if n is None:
-            if len(self._known) >= self._limit:
-                self._known.clear()
-            n = len(self._core.encode_single_piece(piece.encode()))
-            self._known[piece] = n
-        return n
-
-    def of_text(self, text: str | None) -> int:
-        """Tokens of a whole text; 0 for null and for the empty text."""
-        if not text:
-            return 0
-        return sum(map(self.of_piece, splitter().findall(text)))
-
-
-@lru_cache(maxsize=4)
-def piece_lengths(name: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> PieceLengths:
-    return PieceLengths(name, folder)
