@@ -46,7 +46,7 @@ from weirflow.llm.text_stats import KINDS, SAMPLE_ROWS, ProseModel, drawn, fit_t
 
 ORDERS = (2, 3, 4)
 LANDMARKS, TRAINED, PER_PAGE = 60, 250, 10
-TABLE_BITS = 18
+TABLE_BITS = 16
 HASH_BITS = 40
 BATCH, PRODUCT = 10_000, 4_000
 SURE = 0.9
@@ -107,17 +107,24 @@ class KernelClassifier:
         presence = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
         for i, gs in enumerate(grams):
             presence[i, [vocabulary[g] for g in gs if g in vocabulary]] = 1 / math.sqrt(max(1, len(gs)))
-        self.temperature = self._temperature(presence, marks, y, ridge) if rows else 1.0
-        self.weights = np.vstack([np.zeros((1, len(self.langs)), np.float32), self._solve(presence, marks, y, ridge).astype(np.float32) if rows else np.zeros((0, 0), np.float32)])
+        base = presence[marks]
+        # The kernel of every sentence with every landmark: all that fitting needs.
+        kernel = (presence @ base.T).astype(np.float64)
+        own = np.array(marks, dtype=np.int64)
+        self.temperature = self._temperature(kernel, own, y, ridge) if rows else 1.0
+        found = base.T @ self._solve(kernel, own, y, ridge).astype(np.float32) if rows else np.zeros((0, 0), np.float32)
+        self.weights = np.vstack([np.zeros((1, len(self.langs)), np.float32), found])
+        self.bits = max(TABLE_BITS, (3 * len(vocabulary)).bit_length())
         # n-gram -> row of the weights: an open table over its hash, probed place by place
-        self.keys = np.full(1 << TABLE_BITS, -1, dtype=np.int64)
-        self.slots = np.zeros(1 << TABLE_BITS, dtype=np.int32)
+        size = 1 << self.bits
+        self.keys = np.full(size, -1, dtype=np.int64)
+        self.slots = np.zeros(size, dtype=np.int32)
         self.probes = 1
         for g, i in vocabulary.items():
             h = int(self._hashes(np.array([ord(c) for c in g], dtype=np.uint64), len(g))[-1][0])
-            at, step = h >> HASH_BITS - TABLE_BITS, 1
+            at, step = h >> HASH_BITS - self.bits, 1
             while self.keys[at] >= 0:
-                at, step = (at + 1) & (1 << TABLE_BITS) - 1, step + 1
+                at, step = (at + 1) & size - 1, step + 1
             self.keys[at], self.slots[at] = h, i + 1
             self.probes = max(self.probes, step)
 
@@ -131,25 +138,25 @@ class KernelClassifier:
             out.append((h >> np.uint64(64 - HASH_BITS)).astype(np.int64))
         return out
 
-    def _solve(self, presence: np.ndarray, marks: list[int], y: np.ndarray, ridge: float, rows: np.ndarray | None = None) -> np.ndarray:
+    def _solve(self, kernel: np.ndarray, marks: np.ndarray, y: np.ndarray, ridge: float, rows: np.ndarray | None = None, among: np.ndarray | None = None) -> np.ndarray:
+        """Weights of the landmarks (those in ``among``) for each language, fitted on ``rows``."""
         rows = np.arange(len(y)) if rows is None else rows
-        base = presence[marks]
-        values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+        among = np.arange(len(marks)) if among is None else among
+        values, vectors = np.linalg.eigh(kernel[np.ix_(marks[among], among)])
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        features = (presence[rows] @ base.T).astype(np.float64) @ root
+        features = kernel[np.ix_(rows, among)] @ root
         targets = np.where(np.arange(len(self.langs)) == y[rows][:, None], 1.0, -1.0 / max(1, len(self.langs) - 1))
-        w = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ targets)
-        return base.T @ (root @ w).astype(np.float32)
+        return root @ np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ targets)
 
-    def _temperature(self, presence: np.ndarray, marks: list[int], y: np.ndarray, ridge: float) -> float:
+    def _temperature(self, kernel: np.ndarray, marks: np.ndarray, y: np.ndarray, ridge: float) -> float:
         """Scale of the scores that gives held-out sentences (two folds) the least log loss."""
         z = np.zeros((len(y), len(self.langs)))
         for fold in range(2):
             out = np.arange(len(y)) % 2 == fold
-            m = [i for i in marks if not out[i]]
-            if m and (~out).any():
-                z[out] = presence[out] @ self._solve(presence, m, y, ridge, np.flatnonzero(~out))
+            among = np.flatnonzero(~out[marks])
+            if len(among) and (~out).any():
+                z[out] = kernel[np.ix_(out, among)] @ self._solve(kernel, marks, y, ridge, np.flatnonzero(~out), among)
         self.held_out_accuracy = float((z.argmax(axis=1) == y).mean()) if len(y) else 0.0
         best = (np.inf, 10.0)
         for b in np.geomspace(2, 60, 30):
@@ -178,14 +185,14 @@ class KernelClassifier:
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         o, h = key >> HASH_BITS, key & ((1 << HASH_BITS) - 1)
         total = np.bincount(o, minlength=len(known))
-        at = h >> (HASH_BITS - TABLE_BITS)
+        at = h >> (HASH_BITS - self.bits)
         there = self.keys[at]
         slot = np.where(there == h, self.slots[at], 0)
         rest = np.flatnonzero((there != h) & (there >= 0))
         for step in range(1, self.probes):
             if not len(rest):
                 break
-            place = (at[rest] + step) & (1 << TABLE_BITS) - 1
+            place = (at[rest] + step) & (1 << self.bits) - 1
             there = self.keys[place]
             same = there == h[rest]
             slot[rest[same]] = self.slots[place[same]]
@@ -205,7 +212,7 @@ def spectrum(s: str) -> set[str]:
 def covering(counted: Counter, most: int, landmarks: int) -> list[str]:
     """At most ``most`` of the sentences: first ``landmarks``, each next one adding the most
     of the usual n-grams for its length, then the commonest of the others."""
-    items = sorted(counted.items(), key=lambda x: (-x[1], hash_of(x[0]), x[0]))[:4 * most]
+    items = sorted(counted.items(), key=lambda x: (-x[1], hash_of(x[0]), x[0]))[:2 * most]
     seen: Counter = Counter()
     grams = [spectrum(s) for s, _ in items]
     for g, (_, n) in zip(grams, items):
