@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,27 @@ def test_queries_have_names_and_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "clean_dedup_stats" in e.queries()
+
+
+def test_tokenizer_holds_a_slice_at_once(spark, monkeypatch):
+    texts = ["日本語 a b", "", None, "x" * 900_000, *["many words of one text " * 4_000] * 12]
+    given = []
+
+    class Watched:
+        def __getattr__(self, name):
+            def run(part, **how):
+                given.append((len(part), sum(map(len, part))))
+                return getattr(real, name)(part, **how)
+
+            return run
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    real = tokenizer.load(path)
+    monkeypatch.setattr(tokenizer, "load", lambda _: Watched())
+    monkeypatch.setattr(tokenizer.F, "pandas_udf", lambda f, kind: lambda c: f(c))
+    ids = tokenizer.encode(pd.Series(texts, dtype=object), path)
+    assert [x.tolist() for x in ids] == [real.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(tokenizer.decode(ids, path)) == [t or "" for t in texts]
+    both = tokenizer.round_trip(pd.Series(texts, dtype=object), path)
+    assert [x.tolist() for x in both["ids"]] == [x.tolist() for x in ids] and list(both["text"]) == [t or "" for t in texts]
+    assert len(given) > 6 and all(n == 1 or size <= tokenizer.SLICE for n, size in given)

@@ -378,11 +378,11 @@ def block_pool_overlap(spark, d):
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS h, coalesce(length(text), 0) = 0 AS without_ids, true AS ends, true AS within FROM documents")
 def encode_round_trip(spark, d):
-    docs = _read(spark, d, "documents").select("doc_id", tokenizer.encode(F.col("text"), TOKENIZER).alias("ids"))
+    docs = _read(spark, d, "documents").select("doc_id", tokenizer.round_trip(F.col("text"), TOKENIZER).alias("r")).select("doc_id", "r.ids", F.col("r.text").alias("back"))
     n = F.size("ids")
     marked = F.when(n > 0, F.concat(tokens.clamp(F.col("ids"), 50_000), F.array(F.lit(2)))).otherwise(F.col("ids"))
-    return docs.select("doc_id", "ids", marked.alias("m")).select(
-        "doc_id", F.md5(tokenizer.decode(F.col("ids"), TOKENIZER)).alias("h"), (n == 0).alias("without_ids"),
+    return docs.select("doc_id", "ids", "back", marked.alias("m")).select(
+        "doc_id", F.md5("back").alias("h"), (n == 0).alias("without_ids"),
         ((F.size("m") == 0) | (F.element_at("m", -1) == 2)).alias("ends"), F.forall("m", lambda x: (x >= 0) & (x < 50_000)).alias("within"))
 
 
