@@ -436,3 +436,21 @@ def test_buckets_are_never_below_what_is_common():
         a, b = (" ".join(rng.choice("abcdefgh") * rng.choice([1, 2]) for _ in range(rng.randrange(1, 400))) for _ in range(2))
         x, y = split_overlap.bucketed([split_overlap.signs(a), split_overlap.signs(b)])
         assert int(np.minimum(x, y).sum()) >= common(a.split(" "), b.split(" ")) or 255 in np.minimum(x, y)
+
+
+def test_overlaps_find_words_removed_and_inserted_apart(spark):
+    rng = random.Random(12)
+    vocabulary = {"latin": [f"w{i}" for i in range(300)], "han": [chr(0x4E00 + i) for i in range(300)], "both": ["ж", "я", "字", "z"] * 3 + [f"w{i}" for i in range(60)]}
+    data, want = [], set()
+    for i, (kind, n, swap) in enumerate((kind, n, swap) for kind in vocabulary for n in (17, 25, 60, 79, 150, 1200) for swap in (False, True)):
+        w = [rng.choice(vocabulary[kind]) for _ in range(n)]
+        places = rng.sample(range(n), int(0.38 * n))
+        removed, inserted = set(places[::2]), set(places[1::2])
+        v = [y for k, x in enumerate(w) for y in ([] if k in removed else [x, f"q{i}"] if k in inserted else [x])]
+        if kind == "han":
+            v = ["龘" if y.startswith("q") else y for y in v]
+        assert 2 * common(w, v) >= 0.8 * (len(w) + len(v))
+        want.add((2 * i, 2 * i + 1))
+        w, v = (v, w) if swap else (w, v)
+        data += [(2 * i, " ".join(w), "s", "train"), (2 * i + 1, " ".join(v), "s", "test")]
+    assert {tuple(r) for r in split_overlap.found_pairs(spark.createDataFrame(data, "rec_id bigint, text string, source string, split string")).collect()} >= want
