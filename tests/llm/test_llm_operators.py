@@ -454,3 +454,14 @@ def test_overlaps_find_words_removed_and_inserted_apart(spark):
         w, v = (v, w) if swap else (w, v)
         data += [(2 * i, " ".join(w), "s", "train"), (2 * i + 1, " ".join(v), "s", "test")]
     assert {tuple(r) for r in split_overlap.found_pairs(spark.createDataFrame(data, "rec_id bigint, text string, source string, split string")).collect()} >= want
+
+
+def test_overlaps_compare_recurring_texts_once(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/split_docs.parquet").select("rec_id", "text", "source", "split")
+    many = df.crossJoin(spark.range(6).withColumnRenamed("id", "copy")).repartition(6, "copy").withColumn("rec_id", F.col("rec_id") + 1_000_000 * F.col("copy")).drop("copy")
+    rows = split_overlap.normalised(many).cache()
+    kept = split_overlap.train_classes(rows)
+    assert kept.count() == rows.where("train").select("cid").distinct().count() and not kept.where("text is null").count()
+    pairs = split_overlap.report(df).agg(F.sum("pairs")).first()[0]
+    assert split_overlap.report(many).agg(F.sum("pairs")).first()[0] == 36 * pairs > 0
+    rows.unpersist()
